@@ -45,7 +45,8 @@ def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         starts = np.flatnonzero(new)
         copies = np.add.reduceat(part["copies"].to_numpy(), starts)
         part = part.take(pa.array(starts))
-        part = part.set_column(part.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
+        at = part.schema.get_field_index("copies")
+        part = part.set_column(at, part.schema.field(at), pa.array(copies, pa.int64()))
         carry = part.slice(part.num_rows - 1)
         yield from part.slice(0, part.num_rows - 1).to_batches()
     if carry is not None:
