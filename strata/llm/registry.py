@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash, token_counts
+from . import decontaminate, exact_dedup, mixing, secrets, simhash, token_counts
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
-SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {"op5_decontaminate": decontaminate.OP5_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
