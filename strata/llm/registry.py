@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, secrets, simhash, token_counts
+from . import decontaminate, exact_dedup, lm_score, mixing, quality, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 SQL = {"op5_decontaminate": decontaminate.OP5_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
