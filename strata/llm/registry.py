@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, lm_score, mixing, quality, secrets, simhash, token_counts, toxicity
+from . import decontaminate, exact_dedup, lm_score, mixing, quality, secrets, simhash, surrogates, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_surrogates": surrogates.op6_surrogates,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
