@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-IN_ORDER = Window.partitionBy("graph_id").orderBy("ord")
+def _in_order():
+    return Window.partitionBy("graph_id").orderBy("ord")
+
+
 PLACED = "array<struct<node_id:string,x:double,y:double,width:double,height:double>>"
 
 
@@ -54,12 +57,12 @@ def box_packing(nodes: DataFrame, spacing: float = 15.0, padding: float = 15.0,
 def relative_spread(nodes: DataFrame, compact: bool, spacing: float = 20.0, padding: float = 0.0) -> DataFrame:
     """Every node from the one before it: same direction, distance as required (compact) or at least as required."""
     def moved(c: str, size: str) -> Column:
-        delta, need = F.col(c) - F.lag(c).over(IN_ORDER), F.lag(size).over(IN_ORDER) + spacing
+        delta, need = F.col(c) - F.lag(c).over(_in_order()), F.lag(size).over(_in_order()) + spacing
         far = need if compact else F.greatest(F.abs(delta), need)
         return F.coalesce(F.signum(delta) * far, F.lit(padding))
 
     steps = nodes.select("graph_id", "node_id", "ord", "width", "height", moved("x", "width").alias("dx"), moved("y", "height").alias("dy"))
-    upto = IN_ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _in_order().rowsBetween(Window.unboundedPreceding, 0)
     return steps.select("graph_id", "node_id", (F.sum("dx").over(upto) + 0.0).alias("x"), (F.sum("dy").over(upto) + 0.0).alias("y"), "width", "height")
 
 
