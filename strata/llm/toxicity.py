@@ -145,13 +145,15 @@ def evidence(values: list[float], n: int) -> np.ndarray:
 def fit(texts: list[bytes], ys: np.ndarray, model: np.ndarray, symbol: np.ndarray) -> tuple[dict[bytes, float], np.ndarray]:
     """Weights of stems, and of the logistic layer (fitted on evidence that leaves each text's own counts out)."""
     reader = WordEvidence({}, model, symbol)
+    # Of texts that aren't toxic only stems that toxic ones have are kept: for most words that is one shared empty set.
     read: dict[bytes, frozenset] = {}
+    may: set[bytes] | None = None
 
     def of(text: bytes) -> tuple[set[bytes], int]:
         words, out = text_words(text, model, symbol), set()
         for w in words:
             if w not in read:
-                read[w] = frozenset(s for r in reader.readings(w) for s in stems(r))
+                read[w] = frozenset(s for r in reader.readings(w) for s in stems(r) if may is None or s in may)
             out |= read[w]
         return out, len(words)
 
@@ -161,9 +163,10 @@ def fit(texts: list[bytes], ys: np.ndarray, model: np.ndarray, symbol: np.ndarra
         per[i] = of(texts[i])
         bad.update(per[i][0])
     may = {s for s, n in bad.items() if n >= 3}
+    read.clear()
+    per = {i: (found & may, n) for i, (found, n) in per.items()}
     for i in np.flatnonzero(ys <= 0.5):
-        found, n = of(texts[i])
-        per[i] = (found & may, n)
+        per[i] = of(texts[i])
         good.update(per[i][0])
     n_bad, n_good = int((ys > 0.5).sum()), int((ys <= 0.5).sum())
 
