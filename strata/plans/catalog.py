@@ -23,6 +23,7 @@ walk AS (SELECT graph_id, node_id, 0 AS d FROM nodes UNION ALL SELECT w.graph_id
 lay AS (SELECT graph_id, node_id, max(d) AS layer FROM walk GROUP BY ALL),
 pos AS (SELECT l.graph_id, l.node_id, l.layer, row_number() OVER (PARTITION BY l.graph_id, l.layer ORDER BY n.ord) - 1 AS pos, n.width, n.height
   FROM lay l JOIN nodes n USING (graph_id, node_id))"""
+_DAG_ORIENT, _DAG_LAYERS = _ORIENT, _LAYERS
 _ELBOW = """
 seg0 AS (SELECT e.graph_id, e.edge_id, s.x + s.width / 2 AS sx, s.y + s.height / 2 AS sy, t.x + t.width / 2 AS tx, t.y + t.height / 2 AS ty
   FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.source_id JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.target_id WHERE e.source_id <> e.target_id),

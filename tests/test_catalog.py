@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strata.plans import catalog
+from strata.plans import catalog, catalog_more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
