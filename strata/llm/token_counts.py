@@ -83,7 +83,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
     misses = misses.select("text_digest", "t", F.octet_length("t").cast("long").alias("n_bytes"))
     misses.mapInArrow(kernel, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
-    known = known.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join stands on two plain exchanges: only then can Spark split a digest that many rows share.
+    known = cut(known.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "known-counts")
     out = digests.join(known, "text_digest", "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
