@@ -141,7 +141,7 @@ def median_step(spark: SparkSession, d: str) -> DataFrame:
     up = e.join(at.withColumnsRenamed({"node_id": "source_id", "layer": "sl", "pos": "sp"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "layer": "tl"}).drop("pos"), ["graph_id", "target_id"]).where("tl = sl + 1")
     mid = up.groupBy("graph_id", F.col("target_id").alias("node_id")).agg(F.sort_array(F.collect_list("sp")).alias("l")).select("graph_id", "node_id", F.expr("l[size(l) div 2]").alias("b"))
     w = Window.partitionBy("graph_id", "layer").orderBy(F.coalesce("b", "pos"), "pos")
-    return at.join(mid, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "layer", (F.row_number().over(w) - 1).alias("pos"))
+    return at.join(mid, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "layer", (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
 @query("SELECT graph_id, 0 AS too_close FROM nodes GROUP BY graph_id", TRANSITION_SQL)
