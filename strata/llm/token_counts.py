@@ -8,6 +8,7 @@ encoded: the digests, not the texts, are grouped, and a copy's text never meets
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from .common import bounded_batches, cut, new_path, path_exists, table
 CACHE_SCHEMA = "text_digest string, tokenizer_digest string, n_bytes long, n_tokens long"
 
 
+@functools.lru_cache(maxsize=2)  # a worker process serves many tasks and reads the vocabulary once
 def load_counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts: tokenizers for .json, sentencepiece for .model, library defaults."""
     if path.endswith(".json"):
