@@ -103,13 +103,13 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The documents that the mix takes, with all their columns, and ``copies``: how often the mix takes each.
 
     Joined back by id; of rows that share an id, each keeps the number its own text got (the largest, if whole rows
-    repeat).
+    repeat).  A column ``copies`` that ``docs`` has already is replaced.
     """
     taken = mix_to_targets(docs.withColumn("__id", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("x"), F.col(source_col).alias("s"))), id_col="__id", text_col=text_col, source_col=source_col, **how)
     taken = taken.where("taken > 0").groupBy("__id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
     taken = cut(taken.select(F.col("__id.i").alias("__i"), F.col("__id.x").alias("__x"), F.col("__id.s").alias("__s"), "copies"), "taken")
     on = docs[id_col].eqNullSafe(taken["__i"]) & (F.xxhash64(docs[text_col]) == taken["__x"]) & docs[source_col].eqNullSafe(taken["__s"])
-    return docs.join(taken, on).select(*[docs[c] for c in docs.columns], taken["copies"])
+    return docs.join(taken, on).select(*[docs[f"`{c}`"] for c in docs.columns if c.lower() != "copies"], taken["copies"])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,7 +134,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: s
     known = labels.where(F.col(label).isNotNull() & (crc_mod(id_col, held[0]) != held[1])).select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("__y"))
     known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(2 * rows)
     texts, ys, size, seen = [], [], 0, set()
-    picked = docs.join(F.broadcast(known), docs[id_col] == known["__id"]).select("__id", "__y", F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    all_texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    picked = all_texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__id", "__y", "t")
     for r in picked.orderBy(F.xxhash64("__id"), "__id", "t").limit(rows).toLocalIterator():
         text = r.t.encode()
         if r["__id"] in seen or size + len(text) > most_bytes:

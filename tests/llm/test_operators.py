@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, exact_dedup, lm_score, mixing, quality, secrets, simhash, surrogates, token_counts, toxicity
 
@@ -57,6 +58,9 @@ def test_empty_tables(docs, labels, bench):
 def test_stages_keep_columns(docs, labels, bench):
     for out in (quality.keep_good(docs, labels), exact_dedup.keep_first_copies(docs), simhash.keep_one_of_each(docs), decontaminate.keep_clean(docs, bench)):
         assert out.columns == docs.columns and out.count() <= 12
+    mixed = mixing.mix_documents(docs.withColumns({c: F.lit(0) for c in ("copies", "__id", "__y")}))
+    assert sorted(mixed.columns) == sorted([*docs.columns, "copies", "__id", "__y"])
+    assert quality.score_quality(docs.withColumns({"__id": F.lit(0), "__y": F.lit(0)}), labels).count() == 12
     assert exact_dedup.keep_first_copies(docs).count() == 9  # the repeated pair and null with empty are one each
     assert mixing.mix_documents(docs).columns == [*docs.columns, "copies"]
 
