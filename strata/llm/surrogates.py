@@ -3,7 +3,8 @@
 Detection is one pattern with an alternative per kind, so mentions never overlap.  Mentions of one entity (the digits
 of a phone number however it is written, an address in either case, a surname after any title) share a normal form,
 and the normal form and a key give the surrogate: same kind, digits for digits, letters for letters of the same case,
-syllables of the same script, given names of the gender the title tells.  All distinct entities of the table are then
+syllables of the same script, given names of the gender a title tells.  A person is its given
+names and surname; each of these words is an entity of its own, so two persons never share a full surrogate.  All distinct entities of the table are then
 checked together: where two of them, or a surrogate and a real entity, coincide, all but one draw again, until the map
 is one to one.  The finished map is joined back to the mentions, and texts are rebuilt around them.
 """
@@ -31,6 +32,7 @@ SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ha he ka ke ki ko la
 
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _ALL_TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+_LEAD = rf"(?:{_ALL_TITLES})\.?\x20"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -42,7 +44,7 @@ KINDS = {
     "name": rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.?\x20(?:{_NAME}\x20)?{_NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-MENTION = "struct<kind:string,text:string,norm:string,script:string,gender:string>"
+MENTION = "struct<kind:string,text:string,norm:string,script:string,gender:string,given:array<string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -61,7 +63,10 @@ def _mention(text: Column) -> Column:
     norm = F.when(kind == "name", F.lower(last)).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.regexp_replace(text, " ", "")).otherwise(F.lower(text))
     gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
     script = F.when(last.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    return F.struct(kind.alias("kind"), text.alias("text"), norm.alias("norm"), script.alias("script"), gender.alias("gender"))
+    # Given names: what stands between title and surname, without full stops.
+    words = F.split(F.regexp_replace(F.lower(F.regexp_replace(text, rf"^{_LEAD}", "")), r"\.", ""), " ")
+    given = F.when(kind == "name", F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    return F.struct(kind.alias("kind"), text.alias("text"), norm.alias("norm"), script.alias("script"), gender.alias("gender"), given.alias("given"))
 
 
 def _pieces(text: Column) -> Column:
@@ -89,8 +94,8 @@ def _number(draw: Column, i: Column) -> Column:
     return F.conv(F.substring(draw, (i * 3 % 253 + 1).cast("int"), F.lit(3)), 16, 10).cast("int")
 
 
-def surrogate(key: str, kind: Column, norm: Column, script: Column, attempt: Column) -> Column:
-    """The surrogate's normal form."""
+def surrogate(key: str, kind: Column, norm: Column, script: Column, gender: Column, attempt: Column) -> Column:
+    """The surrogate's normal form.  A given name is one of GIVEN, with two more syllables each time it draws again."""
     draw = _draw(key, kind, norm, attempt)
     chars = F.transform(
         F.split(norm, ""),
@@ -99,12 +104,17 @@ def surrogate(key: str, kind: Column, norm: Column, script: Column, attempt: Col
     octets = F.transform(F.split(norm, r"\."), lambda c, i: (_number(draw, i) % 254 + 1).cast("string"))
     said = F.when(script == "cyrillic", F.array(*map(F.lit, SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, SYLLABLES["latin"])))
     syllables = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(said, _number(draw, i) % 32 + 1))
+    given = F.lit("")
+    for (s, g), names in GIVEN.items():
+        given = F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), _number(draw, F.lit(0)) % len(names) + 1)).otherwise(given)
+    more = F.transform(F.sequence(F.lit(1), attempt * 2 + 1), lambda i: F.when(i <= attempt * 2, F.element_at(said, _number(draw, i) % 32 + 1)).otherwise(""))
+    given = F.concat(F.lower(given), F.array_join(more, ""))
     # An address keeps its country code and its top-level domain is one that is never delegated.
     email = F.concat(F.substring_index(F.array_join(chars, ""), "@", 1), F.lit("@"), F.regexp_replace(F.substring_index(F.array_join(chars, ""), "@", -1), r"[^.]+$", "example"))
-    return F.when(kind == "name", F.array_join(syllables, "")).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 40))).otherwise(F.array_join(chars, ""))
+    return F.when(kind == "name", F.array_join(syllables, "")).when(kind == "given", given).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 40))).otherwise(F.array_join(chars, ""))
 
 
-def _laid_out(m: Column, s: Column, key: str) -> Column:
+def _laid_out(m: Column, s: Column, given: Column) -> Column:
     """A surrogate's normal form in the format of a mention: separators, brackets, spaces, title and case stay."""
     digits = F.aggregate(
         F.split(m["text"], ""),
@@ -112,29 +122,24 @@ def _laid_out(m: Column, s: Column, key: str) -> Column:
         lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substring(s, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
         lambda a: a["out"],
     )
-    given = F.lit("")
-    draw = _draw(key, F.lit("given"), F.lower(m["text"]), F.lit(0))
-    for (script, gender), names in GIVEN.items():
-        given = F.when((m["script"] == script) & (m["gender"] == gender), F.element_at(F.array(*map(F.lit, names)), _number(draw, F.lit(0)) % len(names) + 1)).otherwise(given)
-    title = F.regexp_extract(m["text"], rf"^((?:{_ALL_TITLES})\.?\x20)", 1)
-    two = F.size(F.split(m["text"], " ")) > 2
-    name = F.concat(title, F.when(two, F.concat(given, F.lit(" "))).otherwise(""), F.initcap(s))
+    title = F.regexp_extract(m["text"], rf"^({_LEAD})", 1)
+    name = F.concat(title, F.array_join(F.transform(F.concat(given, F.array(s)), F.initcap), " "))
     return F.when(m["kind"] == "name", name).when(m["kind"].isin("phone", "card", "ssn", "iban"), digits).otherwise(s)
 
 
 def surrogate_map(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
-    """(kind, norm, script) -> (kind, norm, surrogate), one to one within a kind; no surrogate is a real entity."""
-    now = cut(entities.groupBy("kind", "norm").agg(F.max("script").alias("script")).withColumn("attempt", F.lit(0)), "entities")
+    """(kind, norm, script, gender) -> (kind, norm, surrogate), one to one within a kind; no surrogate is a real entity."""
+    now = cut(entities.groupBy("kind", "norm").agg(F.max("script").alias("script"), F.coalesce(F.max(F.when(F.col("gender") != "n", F.col("gender"))), F.lit("n")).alias("gender")).withColumn("attempt", F.lit(0)), "entities")
     real = now.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("taken"))
     for _ in range(most_rounds):
-        drawn = now.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("script"), F.col("attempt")))
+        drawn = now.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.col("script"), F.col("gender"), F.col("attempt")))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("first"), F.count("*").alias("n"))
         judged = first.join(real, ["kind", "surrogate"], "left").where("n > 1 or taken")
         again = drawn.join(judged, ["kind", "surrogate"], "left").withColumn("again", F.coalesce(F.col("taken") | (F.col("norm") != F.col("first")), F.lit(False)))
-        again = cut(again.select("kind", "norm", "script", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), "surrogate", "again"), "drawn")
+        again = cut(again.select("kind", "norm", "script", "gender", F.when(F.col("again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), "surrogate", "again"), "drawn")
         if not again.where("again").limit(1).count():
             return again.select("kind", "norm", "surrogate")
-        now = again.select("kind", "norm", "script", "attempt")
+        now = again.select("kind", "norm", "script", "gender", "attempt")
     raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
 
 
@@ -150,13 +155,17 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
     split = rows.where(possible).select("id", pieces.alias("p"))
     split = cut(split.where(F.exists("p", lambda x: x["mention"].isNotNull())).withColumn("row", F.monotonically_increasing_id()), "mentions")
     found = split.select("row", F.explode("p").alias("x")).where("x.mention is not null").select("row", "x.mention.*")
-    drawn = surrogate_map(found.select("kind", "norm", "script"), key)
-    per_row = found.select("row", "kind", "norm").distinct().join(drawn, ["kind", "norm"])
+    given = found.select("row", F.lit("given").alias("kind"), F.explode("given").alias("norm"), "script", "gender")
+    entities = found.select("row", "kind", "norm", "script", "gender").unionByName(given)
+    drawn = surrogate_map(entities, key)
+    per_row = entities.select("row", "kind", "norm").distinct().join(drawn, ["kind", "norm"])
     per_row = per_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "norm"), "surrogate"))).alias("map"))
 
     def rebuilt(x: Column) -> Column:
         m = x["mention"]
-        return F.concat(F.when(m.isNull(), "").otherwise(_laid_out(m, F.element_at(F.col("map"), F.concat_ws("\u0000", m["kind"], m["norm"])), key)), x["after"])
+        said = lambda kind, norm: F.element_at(F.col("map"), F.concat_ws("\u0000", kind, norm))
+        given = F.transform(m["given"], lambda g: said(F.lit("given"), g))
+        return F.concat(F.when(m.isNull(), "").otherwise(_laid_out(m, said(m["kind"], m["norm"]), given)), x["after"])
 
     def counted(kind: str | None) -> Column:
         ok = lambda x: x["mention"].isNotNull() if kind is None else F.coalesce(x["mention"]["kind"] == kind, F.lit(False))
