@@ -30,9 +30,10 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ra re ri ro".split(), "cyrillic": "ба бе бо бу ва ве во ву га го да де до ка ко ку ла ле ло лу ма ме мо му на не но ра ре ро са со".split()}
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
 _ALL_TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_LEAD = rf"(?:{_ALL_TITLES})\.?\x20"
+_LEAD = rf"(?:(?:{_ALL_TITLES})\.?\x20)+"
+#: A name word: no title, and a possessive 's is no part of it.  Initials may stand before the surname.
+_NAME = rf"(?!(?:{_ALL_TITLES})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|['’-](?!s(?!\p{{L}}))(?=\p{{L}}))+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -41,8 +42,10 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_ALL_TITLES})\.?\x20(?:{_NAME}\x20)?{_NAME}",
+    "name": rf"(?<!\p{{L}}){_LEAD}(?:(?:{_NAME}|\p{{Lu}}\.)\x20)*{_NAME}",
 }
+#: Between a word and what surrounds it.
+_EDGES = r"(?<=\p{L})(?!\p{L}|['’-](?!s(?!\p{L}))\p{L})(?=.|\s)|(?<!\p{L}|\p{L}['’-])(?=\p{L})"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 MENTION = "struct<kind:string,text:string,norm:string,script:string,gender:string,given:array<string>>"
 
@@ -147,7 +150,8 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
     """One row per input row: id, text with surrogates, n_entities and n_<kind> of each kind.
 
     Null texts stay null; texts without mentions are unchanged (but for control characters U+0001 and U+0002, which
-    become U+0003); repeated rows come out repeated; an empty table is empty.
+    become U+0003).  Names are found by their titles; untitled mentions of them in the same text are replaced too, and
+    not counted.  Repeated rows come out repeated; an empty table is empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     pieces = _pieces(F.coalesce("t", F.lit("")))
@@ -159,13 +163,20 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
     entities = found.select("row", "kind", "norm", "script", "gender").unionByName(given)
     drawn = surrogate_map(entities, key)
     per_row = entities.select("row", "kind", "norm").distinct().join(drawn, ["kind", "norm"])
-    per_row = per_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "norm"), "surrogate"))).alias("map"))
+    per_row = per_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "norm"), "surrogate"))).alias("map"), F.bool_or(F.col("kind") == "name").alias("named"))
 
     def rebuilt(x: Column) -> Column:
         m = x["mention"]
         said = lambda kind, norm: F.element_at(F.col("map"), F.concat_ws("\u0000", kind, norm))
         given = F.transform(m["given"], lambda g: said(F.lit("given"), g))
-        return F.concat(F.when(m.isNull(), "").otherwise(_laid_out(m, said(m["kind"], m["norm"]), given)), x["after"])
+        return F.concat(F.when(m.isNull(), "").otherwise(_laid_out(m, said(m["kind"], m["norm"]), given)), F.when(F.col("named"), untitled(x["after"])).otherwise(x["after"]))
+
+    def untitled(plain: Column) -> Column:
+        """Capitalised words of a text's own persons, where they stand without a title; a given name's initial stays."""
+        said = lambda kind, w: F.element_at(F.col("map"), F.concat_ws("\u0000", F.lit(kind), F.lower(w)))
+        words = F.split(plain, _EDGES)
+        known = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}.") & w.rlike(r"\p{L}$"), F.initcap(F.coalesce(said("name", w), said("given", w)))).otherwise(F.lit(None).cast("string")))
+        return F.array_join(F.zip_with(words, known, lambda w, k: F.coalesce(k, w)), "")
 
     def counted(kind: str | None) -> Column:
         ok = lambda x: x["mention"].isNotNull() if kind is None else F.coalesce(x["mention"]["kind"] == kind, F.lit(False))

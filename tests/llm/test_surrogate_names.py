@@ -14,3 +14,13 @@ def test_persons_are_distinct_and_coreferent(spark):
     bare = [" ".join(x.split()[1:]) for x in got]
     assert len(set(bare[: len(givens)])) == len(givens)
     assert set(bare[len(givens) :]) == {bare[0]} and "Smith" not in "".join(got)
+
+
+def test_whole_names_and_later_mentions(spark):
+    texts = ["Mr John F. Kennedy came.", "Mr John Paul Smith came.", "Herr Dr. Müller kam.", "Mr J. Smith came.", "Mr John Smith came. Later Smith's wife met John Smith, and (Smith) smith I."]
+    got = replaced(spark, texts)
+    for x in got[:4]:
+        assert not any(w in x for w in ("John", "Paul", "Kennedy", "Smith", "Müller"))
+    assert got[2].startswith("Herr Dr. ") and got[2].endswith(" kam.") and got[0].endswith(" came.")
+    given, surname = got[4].split()[1:3]
+    assert got[4] == f"Mr {given} {surname} came. Later {surname}'s wife met {given} {surname}, and ({surname}) smith I."
