@@ -30,17 +30,21 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def closure(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, ancestor_id, depth) for every proper ancestor: one broadcastable self-join per level, with
-    paths doubled every round, so a hierarchy of depth d takes log2(d) rounds."""
+    paths doubled every round, so a hierarchy of depth d takes log2(d) rounds.  A cycle is an error."""
     step = nodes.where("parent_id is not null").select("graph_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
     reach = step
-    for _ in range(5):  # hierarchies up to 32 levels
+    rounds = 0
+    while True:
         far = reach.select("graph_id", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("up"), F.col("depth").alias("more"))
         longest = reach.groupBy("graph_id", "node_id").agg(F.max_by("ancestor_id", "depth").alias("ancestor_id"), F.max("depth").alias("depth"))
         new = longest.join(far, ["graph_id", "ancestor_id"]).select("graph_id", "node_id", F.col("up").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach = reach.unionByName(new)
         if not new.limit(1).count():
-            break
-    return reach
+            return reach
+        if new.where("node_id = ancestor_id").limit(1).count():
+            raise ValueError("a node is its own ancestor: parents form a cycle")
+        reach, rounds = reach.unionByName(new), rounds + 1
+        if rounds >= 5:  # deep ones are written, or each round would compute all before it again
+            reach = reach.localCheckpoint()
 
 
 def world_frames(nodes: DataFrame) -> DataFrame:
