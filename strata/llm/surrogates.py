@@ -98,7 +98,8 @@ def _number(draw: Column, i: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, norm: Column, script: Column, gender: Column, attempt: Column) -> Column:
-    """The surrogate's normal form.  A given name is one of GIVEN, with two more syllables each time it draws again."""
+    """The surrogate's normal form.  A given name is one of GIVEN, with two more syllables each time it draws again; a
+    surname gets one more each time, and an address gets syllables from its third further draw on."""
     draw = _draw(key, kind, norm, attempt)
     chars = F.transform(
         F.split(norm, ""),
@@ -106,14 +107,14 @@ def surrogate(key: str, kind: Column, norm: Column, script: Column, gender: Colu
     )
     octets = F.transform(F.split(norm, r"\."), lambda c, i: (_number(draw, i) % 254 + 1).cast("string"))
     said = F.when(script == "cyrillic", F.array(*map(F.lit, SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, SYLLABLES["latin"])))
-    syllables = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(said, _number(draw, i) % 32 + 1))
+    syllables = F.transform(F.sequence(F.lit(0), F.lit(3) + attempt), lambda i: F.element_at(said, _number(draw, i) % 32 + 1))
     given = F.lit("")
     for (s, g), names in GIVEN.items():
         given = F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), _number(draw, F.lit(0)) % len(names) + 1)).otherwise(given)
     more = F.transform(F.sequence(F.lit(1), attempt * 2 + 1), lambda i: F.when(i <= attempt * 2, F.element_at(said, _number(draw, i) % 32 + 1)).otherwise(""))
     given = F.concat(F.lower(given), F.array_join(more, ""))
     # An address keeps its country code and its top-level domain is one that is never delegated.
-    email = F.concat(F.substring_index(F.array_join(chars, ""), "@", 1), F.lit("@"), F.regexp_replace(F.substring_index(F.array_join(chars, ""), "@", -1), r"[^.]+$", "example"))
+    email = F.concat(F.substring_index(F.array_join(chars, ""), "@", 1), F.when(attempt > 2, F.array_join(more, "")).otherwise(""), F.lit("@"), F.regexp_replace(F.substring_index(F.array_join(chars, ""), "@", -1), r"[^.]+$", "example"))
     return F.when(kind == "name", F.array_join(syllables, "")).when(kind == "given", given).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 40))).otherwise(F.array_join(chars, ""))
 
 

@@ -24,3 +24,10 @@ def test_whole_names_and_later_mentions(spark):
     assert got[2].startswith("Herr Dr. ") and got[2].endswith(" kam.") and got[0].endswith(" came.")
     given, surname = got[4].split()[1:3]
     assert got[4] == f"Mr {given} {surname} came. Later {surname}'s wife met {given} {surname}, and ({surname}) smith I."
+
+
+def test_more_short_addresses_than_their_shape_has_surrogates(spark):
+    # 'x@y.co' has 676 surrogates without growth.
+    entities = spark.createDataFrame([("email", f"{a}@{b}.{t}", "latin", "n") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for t in ("co", "de")], "kind string, norm string, script string, gender string")
+    got = [r.surrogate for r in surrogates.surrogate_map(entities, "k").collect()]
+    assert len(got) == len(set(got)) == 1352
