@@ -29,8 +29,10 @@ SEPARATORS = "._-*~'’ \t"
 _SIGNS = re.escape("".join(STANDS_FOR))
 _L = "a-zß-öø-ÿ"
 DISGUISED = re.compile(rf"[{_L}][{_SIGNS}]|[{_SIGNS}][{_L}]|([{_L}])\1\1|[{_L}][._*~'’-]+[{_L}][._*~'’-]+[{_L}]")
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 EDGE = b".,;:!?\"'()[]{}<>|*#%&$~-_=/\\"
+_EDGES = f"[{re.escape(EDGE.decode())}]*"
+#: Group 1: letters or signs alone between blanks, without punctuation before the first and after the last.
+SPACED = re.compile(rf"(?<!\S){_EDGES}(\S(?:[ \t]+\S){{2,}}){_EDGES}(?!\S)")
 A = 60  # symbols: 0 edge or non-letter, 1-26 a-z, 27-58 U+00E0-U+00FF, 59 other letters
 
 
@@ -131,8 +133,8 @@ def text_words(text: bytes, model: np.ndarray, symbol: np.ndarray) -> set[bytes]
     text = text.translate(LOWER)
     words = set(text.split())
     for m in SPACED.finditer(text.decode("utf-8", "replace")):
-        words.update(decode(m[0], model, symbol).encode().split())
-        words.add("".join(m[0].split()).encode())
+        words.update(decode(m[1], model, symbol).encode().split())
+        words.add("".join(m[1].split()).encode())
     return words
 
 
