@@ -4,9 +4,13 @@ Detection is one pattern with an alternative per kind, so mentions never overlap
 of a phone number however it is written, an address in either case, a surname after any title) share a normal form,
 and the normal form and a key give the surrogate: same kind, digits for digits, letters for letters of the same case,
 syllables of the same script, given names of the gender a title tells.  A person is its given
-names and surname; each of these words is an entity of its own, so two persons never share a full surrogate.  All distinct entities of the table are then
-checked together: where two of them, or a surrogate and a real entity, coincide, all but one draw again, until the map
-is one to one.  The finished map is joined back to the mentions, and texts are rebuilt around them.
+names and surname; each of these words is an entity of its own, so two persons never share a full surrogate.  Card
+numbers and IBANs keep valid check digits.  All distinct entities of the table are then checked together: where two of
+them, or a surrogate and a real entity, coincide, all but one draw again, until the map is one to one.  Texts are
+parsed once and written in pieces; the finished map is joined back to the pieces, and texts are rebuilt around them.
+
+Every repeat in the pattern is bounded, or possessive and so matched without recursion or backtracking, whatever the
+length of a text.
 """
 
 from __future__ import annotations
@@ -16,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-_OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
+_OPEN, _CLOSE = "\u0001", "\u0002"
+#: What stands for marks (and for the escape itself) that a text has already; undone when it is rebuilt.
+_ESCAPES = (("\u0003", "\u0003\u0004"), (_OPEN, "\u0003\u0005"), (_CLOSE, "\u0003\u0006"))
 #: Titles by the gender that they tell.
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Госпожа"), "n": ("Dr", "Prof")}
 #: Surrogate given names by script and gender; no list of real persons.
@@ -29,20 +35,22 @@ GIVEN = {
     ("cyrillic", "n"): ("Саша", "Женя", "Валя", "Слава"),
 }
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ha he ka ke ki ko la le li lo ma me mi mo na ne ra re ri ro".split(), "cyrillic": "ба бе бо бу ва ве во ву га го да де до ка ко ку ла ле ло лу ма ме мо му на не но ра ре ро са со".split()}
+CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 _ALL_TITLES = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
-_LEAD = rf"(?:(?:{_ALL_TITLES})\.?\x20)+"
+_LEAD = rf"(?:(?:{_ALL_TITLES})\.?\x20)++"
 #: A name word: no title, and a possessive 's is no part of it.  Initials may stand before the surname.
-_NAME = rf"(?!(?:{_ALL_TITLES})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}|['’-](?!s(?!\p{{L}}))(?=\p{{L}}))+"
+_NAME = rf"(?!(?:{_ALL_TITLES})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}++|['’-](?!s(?!\p{{L}}))(?=\p{{L}}))++"
+_INITIALS = r"(?:\p{Lu}\.\x20)*+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 KINDS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)++",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
-    "name": rf"(?<!\p{{L}}){_LEAD}(?:(?:{_NAME}|\p{{Lu}}\.)\x20)*{_NAME}",
+    "name": rf"(?<!\p{{L}}){_LEAD}{_INITIALS}{_NAME}(?:\x20{_INITIALS}{_NAME})*+",
 }
 #: Between a word and what surrounds it.
 _EDGES = r"(?<=\p{L})(?!\p{L}|['’-](?!s(?!\p{L}))\p{L})(?=.|\s)|(?<!\p{L}|\p{L}['’-])(?=\p{L})"
@@ -50,9 +58,29 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 MENTION = "struct<kind:string,text:string,norm:string,script:string,gender:string,given:array<string>>"
 
 
+def _luhn_sum(digits: Column, shift: int) -> Column:
+    """Sum of the Luhn rule; ``shift`` 0: every second digit from the one before the last counts twice, 1: from the last."""
+    twice = lambda d: d * 2 - F.when(d > 4, 9).otherwise(0)
+    d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when((i + shift) % 2 == 0, c.cast("int")).otherwise(twice(c.cast("int"))))
+    return F.aggregate(d, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
+
+
 def _luhn(digits: Column) -> Column:
-    d = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
-    return F.aggregate(d, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
+    return _luhn_sum(digits, 0) % 10 == 0
+
+
+def _with_luhn(digits: Column) -> Column:
+    """The digits with their last one replaced by the check digit of the others."""
+    body = F.substring(digits, F.lit(1), F.char_length(digits) - 1)
+    return F.concat(body, ((F.lit(10) - _luhn_sum(body, 1) % 10) % 10).cast("string"))
+
+
+def _with_mod97(iban: Column) -> Column:
+    """Country and account with the two check digits that make the rearranged number 1 modulo 97."""
+    moved = F.concat(F.substring(iban, 5, 60), F.substring(iban, 1, 2), F.lit("00"))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).when(c.rlike("[A-Z]"), a * 100 + F.ascii(c) - 55).otherwise(a) % 97
+    left = F.aggregate(F.split(moved, ""), F.lit(0), step)
+    return F.concat(F.substring(iban, 1, 2), F.lpad((F.lit(98) - left).cast("string"), 2, "0"), F.substring(iban, 5, 60))
 
 
 def _mention(text: Column) -> Column:
@@ -72,10 +100,23 @@ def _mention(text: Column) -> Column:
     return F.struct(kind.alias("kind"), text.alias("text"), norm.alias("norm"), script.alias("script"), gender.alias("gender"), given.alias("given"))
 
 
-def _pieces(text: Column) -> Column:
+def _escaped(text: Column) -> Column:
+    out = text
+    for plain, code in _ESCAPES:
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return F.when(text.rlike("[\u0001-\u0003]"), out).otherwise(text)
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for plain, code in reversed(_ESCAPES):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return F.when(F.contains(text, F.lit("\u0003")), out).otherwise(text)
+
+
+def _pieces(text_col: str) -> Column:
     """A text in turns: array<struct<mention, after>>; the first has no mention.  ``after``: plain text that follows."""
-    safe = F.translate(text, _OPEN + _CLOSE, _OTHER + _OTHER)
-    parts = F.split(F.regexp_replace(safe, F.lit(PATTERN), F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
+    parts = F.split(F.regexp_replace(_escaped(F.col(text_col)), F.lit(PATTERN), F.lit(f"{_OPEN}$0{_CLOSE}")), _OPEN)
     none = F.lit(None).cast(MENTION)
 
     def piece(part: Column, i: Column) -> Column:
@@ -100,10 +141,14 @@ def _number(draw: Column, i: Column) -> Column:
 def surrogate(key: str, kind: Column, norm: Column, script: Column, gender: Column, attempt: Column) -> Column:
     """The surrogate's normal form.  A given name is one of GIVEN, with two more syllables each time it draws again; a
     surname gets one more each time, and an address gets syllables from its third further draw on."""
-    draw = _draw(key, kind, norm, attempt)
+    # Bound by a lambda, so that the digits are drawn once for an entity and not once for each of its characters.
+    return F.get(F.transform(F.array(_draw(key, kind, norm, attempt)), lambda draw: _from_draw(draw, kind, norm, script, gender, attempt)), F.lit(0))
+
+
+def _from_draw(draw: Column, kind: Column, norm: Column, script: Column, gender: Column, attempt: Column) -> Column:
     chars = F.transform(
         F.split(norm, ""),
-        lambda c, i: F.when(c.rlike("[0-9]"), (_number(draw, i) % 10).cast("string")).when(c.rlike("[a-z]"), F.char(_number(draw, i) % 26 + 97)).when(c.rlike("[A-Z]"), F.char(_number(draw, i) % 26 + 65)).when(c.rlike(r"\p{L}"), F.char(_number(draw, i) % 26 + 97)).otherwise(c),
+        lambda c, i: F.when(c.rlike("[0-9]"), (_number(draw, i) % 10).cast("string")).when(c.rlike("[a-z]"), F.char(_number(draw, i) % 26 + 97)).when(c.rlike("[A-Z]"), F.char(_number(draw, i) % 26 + 65)).when(c.rlike(r"\p{IsCyrillic}"), F.element_at(F.split(F.lit(CYRILLIC), ""), _number(draw, i) % 32 + 1)).when(c.rlike(r"\p{L}"), F.char(_number(draw, i) % 26 + 97)).otherwise(c),
     )
     octets = F.transform(F.split(norm, r"\."), lambda c, i: (_number(draw, i) % 254 + 1).cast("string"))
     said = F.when(script == "cyrillic", F.array(*map(F.lit, SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, SYLLABLES["latin"])))
@@ -115,7 +160,10 @@ def surrogate(key: str, kind: Column, norm: Column, script: Column, gender: Colu
     given = F.concat(F.lower(given), F.array_join(more, ""))
     # An address keeps its country code and its top-level domain is one that is never delegated.
     email = F.concat(F.substring_index(F.array_join(chars, ""), "@", 1), F.when(attempt > 2, F.array_join(more, "")).otherwise(""), F.lit("@"), F.regexp_replace(F.substring_index(F.array_join(chars, ""), "@", -1), r"[^.]+$", "example"))
-    return F.when(kind == "name", F.array_join(syllables, "")).when(kind == "given", given).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 40))).otherwise(F.array_join(chars, ""))
+    iban = _with_mod97(F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 60)))
+    # A card keeps the first digit, which tells its kind of issuer.
+    card = _with_luhn(F.concat(F.substring(norm, 1, 1), F.substring(F.array_join(chars, ""), 2, 40)))
+    return F.when(kind == "name", F.array_join(syllables, "")).when(kind == "given", given).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", iban).when(kind == "card", card).otherwise(F.array_join(chars, ""))
 
 
 def _laid_out(m: Column, s: Column, given: Column) -> Column:
@@ -150,15 +198,16 @@ def surrogate_map(entities: DataFrame, key: str, most_rounds: int = 20) -> DataF
 def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, text with surrogates, n_entities and n_<kind> of each kind.
 
-    Null texts stay null; texts without mentions are unchanged (but for control characters U+0001 and U+0002, which
-    become U+0003).  Names are found by their titles; untitled mentions of them in the same text are replaced too, and
-    not counted.  Repeated rows come out repeated; an empty table is empty.
+    Null texts stay null; texts without mentions are unchanged.  Names are found by their titles; untitled mentions of
+    them in the same text are replaced too, and not counted.  Repeated rows come out repeated; an empty table is empty.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    pieces = _pieces(F.coalesce("t", F.lit("")))
-    possible = F.col("t").rlike(PATTERN)
-    split = rows.where(possible).select("id", pieces.alias("p"))
-    split = cut(split.where(F.exists("p", lambda x: x["mention"].isNotNull())).withColumn("row", F.monotonically_increasing_id()), "mentions")
+    # Parsed once: the pieces of texts with mentions, and the others as they are.  The row number keeps Catalyst from
+    # putting the parse into both columns.
+    parsed = rows.select("id", "t", _pieces("t").alias("p"), F.monotonically_increasing_id().alias("row"))
+    some = F.exists("p", lambda x: x["mention"].isNotNull()) & F.col("row").isNotNull()
+    parsed = cut(parsed.select("id", "row", F.when(some, F.col("p")).alias("p"), F.when(~F.coalesce(some, F.lit(False)), F.col("t")).alias("t")), "parsed")
+    split = parsed.where("p is not null").select("id", "row", "p")
     found = split.select("row", F.explode("p").alias("x")).where("x.mention is not null").select("row", "x.mention.*")
     given = found.select("row", F.lit("given").alias("kind"), F.explode("given").alias("norm"), "script", "gender")
     entities = found.select("row", "kind", "norm", "script", "gender").unionByName(given)
@@ -184,9 +233,9 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
         return F.size(F.filter("p", ok)).cast("long").alias(f"n_{kind or 'entities'}")
 
     kinds = [None, *KINDS]
-    with_any = split.join(per_row, "row").select("id", F.array_join(F.transform("p", rebuilt), "").alias("t"), *map(counted, kinds))
-    clean = rows.where(~F.coalesce(possible & F.exists(pieces, lambda x: x["mention"].isNotNull()), F.lit(False)))
-    without = clean.select("id", F.translate("t", _OPEN + _CLOSE, _OTHER + _OTHER).alias("t"), *[F.lit(0).cast("long").alias(f"n_{k or 'entities'}") for k in kinds])
+    with_any = split.join(per_row, "row").select("id", _unescaped(F.array_join(F.transform("p", rebuilt), "")).alias("t"), *map(counted, kinds))
+    clean = parsed.where("p is null")
+    without = clean.select("id", "t", *[F.lit(0).cast("long").alias(f"n_{k or 'entities'}") for k in kinds])
     return with_any.unionByName(without).withColumnsRenamed({"id": id_col, "t": text_col})
 
 
