@@ -8,6 +8,7 @@ costs a re-read and never a wrong or partial result.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 #: ASCII lower-casing as a byte table; UTF-8 continuation bytes are untouched.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _own_dir: str | None = None
+#: Tables of this process in the shared folder, in the order made; what is left goes when the process ends.
+_made: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, local mode) one of our own."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset and all runs in one process (tests), one of our own."""
     global _own_dir
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="strata-shared-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -40,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/strata-{name}-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -53,17 +61,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove a table made by ``cut`` that nothing reads any more."""
-    path = getattr(df, "_strata_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
+def drop_cut(*tables: DataFrame) -> None:
+    """Remove tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_strata_path", None):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.pop(path, None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables cut inside go at the end, but for those put in the list: what is read later must be among these."""
+    before, keep = set(_made), []
+    yield keep
+    kept = {getattr(df, "_strata_path", None) for df in keep}
+    for path in [p for p in _made if p not in before and p not in kept]:
+        drop_path(spark, path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the cluster may be gone
+            drop_path(spark, path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -72,11 +98,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches to Python hold at most ``rows`` texts and 16 MB, so that long texts can't fill a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, Arrow batches to Python hold at most ``rows`` texts and 16 MB, so that long texts can't fill a worker."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+    before = {k: spark.conf.get(k) for k in bounds}
+    if 0 < int(before["spark.sql.execution.arrow.maxRecordsPerBatch"]) < rows:
+        del bounds["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in bounds:
+            spark.conf.set(k, before[k])
+
+
+def text_check(text_col: str) -> Column:
+    """64 bits that stand for a text where its row is found again by identifier and text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, goes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose identifier and text aren't among ``goes`` (id, check), with all their columns.
+
+    Rows of one identifier with different texts are told apart; a null identifier is one like any other.
+    """
+    goes = cut(goes.select(F.col("id").alias("__goes"), F.col("check").alias("__check")).distinct(), "goes")
+    text = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+    return docs.join(goes, docs[f"`{id_col}`"].eqNullSafe(goes["__goes"]) & (text == goes["__check"]), "left_anti")
 
 
 def crc_mod(id_col: str | Column, mod: int) -> Column:

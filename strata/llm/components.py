@@ -39,7 +39,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == said or not seen[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._strata_path = now._strata_path
+            return out
         said = tuple(seen)
         after = cut(_star(_star(now, True), False), "links")
         drop_cut(now)

@@ -19,25 +19,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, crc_mod, mix64, table, texts_of
+from .common import bounded_batches, crc_mod, cut, mix64, table, text_check, texts_of, without
 
 SEGMENT, WIDTH, DIM, FILTERS = 128, 5, 6, 16
 _REPEAT = 8  # bytes that must recur for a byte to count as repeated
 
 
-def symbols(text: bytes) -> np.ndarray:
-    """Bytes 0-255, plus 256 where the last eight bytes occurred before in the text at the same 4096-byte window."""
-    b = np.frombuffer(text, np.uint8).astype(np.int32)
+def symbols(text: bytes, step: int = 1 << 18) -> np.ndarray:
+    """Bytes 0-255, plus 256 where the last eight bytes occurred before in the text at the same 4096-byte window.
+
+    Windows don't touch, so ``step`` (a multiple of 4096) bounds memory and changes nothing.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    b = raw.astype(np.int16)
     if len(b) <= _REPEAT:
         return b
-    v = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), _REPEAT)
-    h = mix64(np.ascontiguousarray(v).view(np.uint64).reshape(-1)) >> np.uint64(44)
-    h = (h.astype(np.int64) << 20) | np.arange(len(h)) >> 12
-    _, first = np.unique(h, return_index=True)
-    again = np.ones(len(h), bool)
-    again[first] = False
-    b[_REPEAT - 1 :] += again * np.int32(256)
+    n = len(b) - _REPEAT + 1
+    for i in range(0, n, step):
+        v = np.lib.stride_tricks.sliding_window_view(raw[i : min(n, i + step) + _REPEAT - 1], _REPEAT)
+        h = mix64(np.ascontiguousarray(v).view(np.uint64).reshape(-1)) >> np.uint64(44)
+        h = (h.astype(np.int64) << 20) | np.arange(len(h)) >> 12
+        _, first = np.unique(h, return_index=True)
+        again = np.ones(len(h), bool)
+        again[first] = False
+        b[i + _REPEAT - 1 : i + _REPEAT - 1 + len(h)] += again * np.int16(256)
     return b
 
 
@@ -58,18 +65,27 @@ class Network:
         """(WIDTH, 513, FILTERS): what each symbol adds at each place of a filter."""
         return np.einsum("sd,kdf->ksf", self.embed, self.filters.reshape(WIDTH, DIM, FILTERS)).astype(np.float32)
 
-    def chunk_peaks(self, s: np.ndarray, tables: np.ndarray, places: bool = False):
-        """Largest response of each filter in each chunk (two neighbouring segments); the places of the largest."""
+    def segments(self, s: np.ndarray, tables: np.ndarray, step: int = 1 << 18) -> Iterator[np.ndarray]:
+        """Responses are taken ``step`` symbols at a time (a multiple of SEGMENT): yields (segment, place, filter) blocks."""
         n = max(1, -(-len(s) // SEGMENT)) * SEGMENT
-        s = np.concatenate((s, np.full(n + WIDTH - 1 - len(s), 512, np.int32)))
-        r = tables[0][s[:n]]
-        for k in range(1, WIDTH):
-            r += tables[k][s[k : n + k]]
-        seg = r.reshape(-1, SEGMENT, FILTERS)
-        if not places:
-            peak = seg.max(axis=1)
-            peak = np.maximum(peak[:-1], peak[1:]) if len(peak) > 1 else peak
-            return np.maximum(peak + self.bias, 0)
+        s = np.concatenate((s, np.full(n + WIDTH - 1 - len(s), 512, s.dtype)))
+        for i in range(0, n, step):
+            size = min(step, n - i)
+            r = tables[0][s[i : i + size]]
+            for k in range(1, WIDTH):
+                r += tables[k][s[i + k : i + k + size]]
+            yield r.reshape(-1, SEGMENT, FILTERS)
+
+    def chunk_peaks(self, s: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Largest response of each filter in each chunk (two neighbouring segments)."""
+        peak = np.concatenate([r.max(axis=1) for r in self.segments(s, tables)])
+        peak = np.maximum(peak[:-1], peak[1:]) if len(peak) > 1 else peak
+        return np.maximum(peak + self.bias, 0)
+
+    def chunk_places(self, s: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Peaks, the places of the largest responses, and the symbols with their padding."""
+        seg = np.concatenate(list(self.segments(s, tables)))
+        s = np.concatenate((s, np.full(seg.shape[0] * SEGMENT + WIDTH - 1 - len(s), 512, s.dtype)))
         at = seg.argmax(axis=1)
         peak = np.take_along_axis(seg, at[:, None, :], 1)[:, 0]
         at += np.arange(len(peak))[:, None] * SEGMENT
@@ -83,11 +99,8 @@ class Network:
 
     def score(self, text: bytes, tables: np.ndarray | None = None) -> float:
         tables = self.tables() if tables is None else tables
-        step, parts = 1 << 18, []
         s = symbols(text)
-        for i in range(0, max(1, len(s)), step):  # long texts in pieces that share a segment and the filters' width
-            parts.append(self.chunk_peaks(s[max(0, i - SEGMENT) : i + step + WIDTH - 1], tables))
-        x = self.features(np.concatenate(parts), len(s))
+        x = self.features(self.chunk_peaks(s, tables), len(s))
         return float(1 / (1 + np.exp(-np.clip(x @ self.out, -30, 30))))
 
 
@@ -104,7 +117,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 8, rate: floa
             grads = [np.zeros_like(p) for p in params]
             tables = net.tables()
             for d in order[i : i + batch]:
-                peaks, at, s = net.chunk_peaks(coded[d], tables, True)
+                peaks, at, s = net.chunk_places(coded[d], tables)
                 x = net.features(peaks, len(coded[d]))
                 g = (1 / (1 + np.exp(-np.clip(x @ net.out, -30, 30))) - labels[d]) / batch
                 grads[3] += g * x
@@ -130,29 +143,29 @@ def train(texts: list[bytes], labels: np.ndarray, *, epochs: int = 8, rate: floa
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str, text_col: str, held: tuple[int, int], rows: int, most_bytes: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``rows`` labelled texts and ``most_bytes`` bytes, lowest hash of the id first, none held out."""
-    known = labels.where(F.col(label).isNotNull() & (crc_mod(id_col, held[0]) != held[1])).select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("__y"))
-    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(2 * rows)
-    texts, ys, size, seen = [], [], 0, set()
-    all_texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    picked = all_texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__id", "__y", "t")
-    for r in picked.orderBy(F.xxhash64("__id"), "__id", "t").limit(rows).toLocalIterator():
-        text = r.t.encode()
-        if r["__id"] in seen or size + len(text) > most_bytes:
-            continue
-        seen.add(r["__id"])
-        size += len(text)
-        texts.append(text), ys.append(r["__y"])
-    return texts, np.array(ys, dtype=np.float64)
-
+    """At most ``rows`` labelled texts and ``most_bytes`` bytes, lowest hash of the id first, none held out.
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_mod: int = 4, held_is: int = 2, threshold: float = 0.7, fit_rows: int = 1200, fit_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document: id, held_out, score, predicted (score >= threshold).
-
-    ``fit_rows`` and ``fit_bytes`` bound the labelled sample that the network is fitted on; scores cover all rows and
-    whole texts.  Null texts are scored as empty; without labels every score is 0.5 or more by prior alone; repeated
-    rows get equal scores; an empty table is empty.  Labels, languages, sources and ids are no input of a score.
+    Lengths are looked at first: only the chosen texts leave the tables.  Of rows that share an id, one text is taken.
     """
+    known = labels.where(F.col(label).isNotNull() & (crc_mod(id_col, held[0]) != held[1])).select(F.col(id_col).alias("__id"), F.col(label).cast("double").alias("__y"))
+    known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(2 * rows)
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    sizes = texts.select("__doc", F.octet_length("t").alias("n"), F.xxhash64("t").alias("check"))
+    sizes = sizes.join(F.broadcast(known), F.col("__doc") == F.col("__id")).groupBy("__id").agg(F.first("__y").alias("y"), F.min(F.struct("check", "n")).alias("least"))
+    size, picked = 0, []
+    for r in sizes.select("__id", "y", "least.check", "least.n").orderBy(F.xxhash64("__id"), "__id").collect():  # at most 2 * rows
+        if len(picked) < rows and size + r.n <= most_bytes:
+            size += r.n
+            picked.append((r["__id"], r.check, r.y, len(picked)))
+    schema = T.StructType([T.StructField("__id", docs.schema[id_col].dataType), T.StructField("check", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("n", T.LongType())])
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, schema))
+    found = texts.join(chosen, (F.col("__doc") == F.col("__id")) & (F.xxhash64("t") == F.col("check"))).groupBy("n").agg(F.first("y").alias("y"), F.first("t").alias("t"))
+    got = sorted(((r.n, r.y, r.t.encode()) for r in found.toLocalIterator()), key=lambda r: r[0])
+    return [t for _, _, t in got], np.array([y for _, y, _ in got], dtype=np.float64)
+
+
+def _scores(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, held_mod: int, held_is: int, threshold: float, fit_rows: int, fit_bytes: int) -> DataFrame:
+    """(id, check, held_out, score, predicted) of every row, written."""
     texts, ys = labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, held=(held_mod, held_is), rows=fit_rows, most_bytes=fit_bytes)
     net = train(texts, ys)
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -160,25 +173,36 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, tables = shared.value, shared.value.tables()
         for batch in batches:
-            scores = [net.score(t, tables) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["id", "held_out", "score"])
+            scores = [net.score(t, tables) for t in texts_of(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(scores, pa.float64())], ["id", "check", "held_out", "score"])
 
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (crc_mod(id_col, held_mod) == held_is).alias("held_out"))
-    out = rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("id"), text_check(text_col).alias("check"), (crc_mod(id_col, held_mod) == held_is).alias("held_out"), F.col(text_col).alias("t"))
+    with bounded_batches(docs.sparkSession):
+        out = cut(rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, check long, held_out boolean, score double"), "quality")
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns.
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_mod: int = 4, held_is: int = 2, threshold: float = 0.7, fit_rows: int = 1200, fit_bytes: int = 4 << 20) -> DataFrame:
+    """One row per document: id, held_out, score, predicted (score >= threshold).
 
-    The decision is joined back by id; rows of one id with different texts all go if one of them is rejected.
+    ``fit_rows`` and ``fit_bytes`` bound the labelled sample that the network is fitted on; scores cover all rows and
+    whole texts.  Null texts are scored as empty; without labels all texts score 0.5; repeated rows get equal scores;
+    an empty table is empty.  Labels, languages, sources and ids are no input of a score.
     """
-    found = score_quality(docs, labels, id_col=id_col, **how)
-    from .common import cut
+    found = _scores(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, held_mod=held_mod, held_is=held_is, threshold=threshold, fit_rows=fit_rows, fit_bytes=fit_bytes)
+    return found.select(F.col("id").alias(id_col), "held_out", "score", "predicted")
 
-    goes = cut(found.where("predicted = 0").select(F.col(id_col).alias("__goes")).distinct(), "goes")
-    return docs.join(goes, docs[id_col].eqNullSafe(goes["__goes"]), "left_anti")
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_mod: int = 4, held_is: int = 2, threshold: float = 0.7, fit_rows: int = 1200, fit_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns.
+
+    The decision is joined back by id and text: rows of one id with different texts are judged each by its own text.
+    Without labels nothing is known to reject, and all rows stay.
+    """
+    if labels.where(F.col(label_col).isNotNull()).limit(1).count() == 0:
+        return docs
+    found = _scores(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, held_mod=held_mod, held_is=held_is, threshold=threshold, fit_rows=fit_rows, fit_bytes=fit_bytes)
+    return without(docs, found.where("predicted = 0"), id_col, text_col)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, table, texts_of, words_of
+from .common import bounded_batches, cut, drop_cut, table, text_check, texts_of, without, words_of
 from .components import components
 
 _BLOCK = 255 * 64
@@ -51,16 +51,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long.  Null texts count as empty."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """(id, check, fp), written: fp is the fingerprint as a signed long.  Null texts count as empty."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("check", T.LongType()), T.StructField("fp", T.LongType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x, shingle, seed) for x in texts_of(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            fps = np.array([fingerprint(x, shingle, seed) for x in texts_of(batch.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["id", "check", "fp"])
 
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(kernel, schema)
+    with bounded_batches(docs.sparkSession):
+        return cut(docs.select(F.col(id_col).alias("id"), text_check(text_col).alias("check"), F.col(text_col).alias("t")).mapInArrow(kernel, schema), "fingerprints")
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -77,28 +77,36 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """(id, check, fp) -> (fp, component_id) of every distinct fingerprint."""
+    groups = cut(marked.groupBy("fp").agg(F.min("id").alias("least_id")), "classes")
+    roots = components(ball_links(groups.select("fp"), radius))
+    joined = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = cut(joined.join(least, "root").select("fp", "component_id"), "components")
+    drop_cut(groups, roots)
+    return classes
+
+
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Texts without words have fingerprint zero and link like any other.  Null ids count for no component_id (it is
     null where a component has no other); repeated rows come out as often as they went in; an empty table is empty.
     """
-    marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "fingerprints")
-    groups = marked.groupBy("fp").agg(F.min("id").alias("least_id"))
-    groups = cut(groups, "classes")
-    roots = components(ball_links(groups.select("fp"), radius))
-    joined = groups.join(roots, groups.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = joined.join(least, "root").select("fp", "component_id")
+    marked = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed)
+    classes = _classes(marked, radius)
     return marked.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component; rows that repeat that id stay, null ids stay."""
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **how)
-    goes = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__goes")).distinct()
-    goes = cut(goes, "goes")
-    return docs.join(goes, docs[id_col] == goes["__goes"], "left_anti")
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their component; rows that repeat that id there stay, null ids stay.
+
+    Rows are known by id and text: of rows that share an id, each is judged by its own text's component.
+    """
+    marked = fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed)
+    found = marked.join(_classes(marked, radius), "fp", "left")
+    return without(docs, found.where(F.col("id") != F.col("component_id")), id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

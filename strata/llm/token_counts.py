@@ -79,11 +79,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, cache_path: str | None
             n = count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), batch.column(2), pa.array(n, pa.int64())], ["text_digest", "tokenizer_digest", "n_bytes", "n_tokens"])
 
-    bounded_batches(spark, 256)
     # Joined on digest and id: the one row of each digest that is encoded; its copies find no partner.
     misses = rows.join(wanted, (F.col("text_digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")))
     misses = misses.select("text_digest", "t", F.octet_length("t").cast("long").alias("n_bytes"))
-    misses.mapInArrow(kernel, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    with bounded_batches(spark, 256):
+        misses.mapInArrow(kernel, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version)
     # Written, so that the join stands on two plain exchanges: only then can Spark split a digest that many rows share.
     known = cut(known.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens")), "known-counts")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, bounded_batches, crc_mod, table, texts_of
+from .common import LOWER, bounded_batches, crc_mod, cut, table, texts_of
 from .quality import labelled_sample
 
 #: What a sign may stand for.
@@ -59,7 +59,8 @@ def char_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
 
-    found = docs.select(text_col).mapInArrow(kernel, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most A^3 rows
+    with bounded_batches(docs.sparkSession):
+        found = docs.select(text_col).mapInArrow(kernel, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most A^3 rows
     n = np.zeros(A**3)
     n[found["at"].to_numpy()] = found["n"].to_numpy()
     n = n.reshape(A, A, A)
@@ -198,7 +199,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     table is empty; without labels all texts get the same score.  Labels, languages, sources and ids are no input.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     model, symbol = char_model(docs, text_col), _symbol_table()
     texts, ys = labelled_sample(docs, labels, label_col, id_col=id_col, text_col=text_col, held=(held_mod, held_is), rows=fit_rows, most_bytes=fit_bytes)
     weights, beta = fit(texts, ys, model, symbol)
@@ -216,7 +216,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), (crc_mod(id_col, held_mod) == held_is).alias("held_out"))
-    out = rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double")
+    with bounded_batches(spark):
+        out = cut(rows.mapInArrow(kernel, f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, score double"), "toxicity")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
