@@ -1,56 +1,259 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index stores, for each occurrence in the training documents of a term that is the rarest of some test window, one
-posting: term, document, position, and the test terms at the 12 places before and after it, that is the slices of
-the other terms' lists which an intersection at this position could meet.  A query takes every test window from its
-rarest term, lays the stored lists over the window at the offset of that term, and intersects them: all 13 places
-agree for a phrase match; most of its terms anywhere among the 25 places, in any order, make a proximity match.
-Every window has a rarest term, so no occurrence is missed; terms are numbered exactly, not hashed.
-
-The test set is read in blocks of bounded size (``block_bytes``); a larger one takes more blocks and as many passes,
-never a larger broadcast.  Document texts are read where they lie and never shuffled.
+The index is document-sharded: each shard (a bounded batch of documents) stores the terms that occur in it and, for
+each term, its postings, the sorted places of all its occurrences.  Places count through a shard, with a gap after
+each document.  The index covers all tokens of all documents, is built by one pass over the texts, written as Parquet,
+and serves any number of test blocks.
+
+A phrase query orders a window's terms by how often the whole corpus has them, takes the postings of the rarest one as
+candidates, and intersects them with the other lists, next rarest first, each list adjusted by its term's offset.  A
+proximity query asks for most of a window's distinct terms, in any order, among a few more places than the window has.
+If all but m of them are needed, one of the m + 1 rarest is always there, so candidates are the postings of these: a
+match is found whichever terms it lacks, also terms that no document has.
+
+The test set is read in blocks of bounded size (``block_bytes``); a larger one takes more blocks, never a larger
+broadcast.  Texts are read where they lie and never shuffled.  Terms are known by 64-bit hashes (of a million test
+terms and a billion corpus terms, two differing ones share a hash with probability 6e-5).
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table, texts_of
+from .common import WordHashes, bounded_batches, cut, drop_cut, table, text_check, texts_of, without
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space, so that split() gives the
 #: words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
+_GAP = 64  # places between two documents of a shard; more than any window and its slack
+_PAIRS = 1 << 15  # candidates that are looked at together
 
 
 def split_words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """uint32 numbers, byte plane by byte plane: the high planes of differences are nearly constant and compress."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """(id, check, t) -> one row a shard: number, ids, checks, lengths, terms (sorted hashes), counts, places."""
+    id_type = docs.schema["id"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(5)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = [split_words(t) for t in texts_of(batch.column(2))]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            token = np.concatenate([hashes.of(w, len(w)) for w in words])
+            place = np.arange(len(token)) + np.repeat(np.arange(len(words)) * _GAP, lengths)
+            order = np.argsort(token, kind="stable")
+            token, place = token[order], place[order]
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            steps = np.diff(place, prepend=0)
+            steps[first] = place[first]
+            counts = np.diff(np.append(first, len(token)))
+            one = pa.array([0, batch.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int.from_bytes(os.urandom(7), "big")], pa.int64()),
+                    pa.ListArray.from_arrays(one, batch.column(0)),
+                    pa.ListArray.from_arrays(one, batch.column(1)),
+                    pa.array([_pack(lengths)], pa.binary()),
+                    pa.array([token[first].tobytes()], pa.binary()),
+                    pa.array([_pack(counts)], pa.binary()),
+                    pa.array([_pack(steps)], pa.binary()),
+                ],
+                ["shard", "ids", "checks", "lengths", "terms", "counts", "places"],
+            )
+
+    with bounded_batches(docs.sparkSession):
+        return cut(docs.select("id", "check", "t").mapInArrow(kernel, f"shard long, ids array<{id_type}>, checks array<long>, lengths binary, terms binary, counts binary, places binary"), "index")
+
+
+@dataclass
 class TestBlock:
-    """A block of test items: numbered terms, and for each window its rarest term's place."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window, self.ids = window, [i for i, _ in items]
-        self.terms = {w: n for n, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws))}
-        self.words = [np.array([self.terms[w] for w in ws], dtype=np.int32) for _, ws in items]
-        self.anchors: dict[int, list[tuple[int, int]]] = {}
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """anchors: term -> [(item, place)], the rarest place of every window (the first of equals)."""
-        places = defaultdict(set)
-        for n, ws in enumerate(self.words):
-            size = min(self.window, len(ws))
-            seen = [counts.get(int(w), 0) for w in ws]
-            for i in range(len(ws) - size + 1) if size else ():
-                at = min(range(i, i + size), key=lambda j: (seen[j], j))
-                places[int(ws[at])].add((n, at))
-        self.anchors = {t: sorted(p) for t, p in places.items()}
+    """Test items in numbers: windows are stretches of ``flat``, the items' terms one after the other."""
+
+    ids: list[str]
+    terms: np.ndarray  # sorted hashes
+    flat: np.ndarray  # numbers into terms
+    item: np.ndarray  # of each window
+    start: np.ndarray  # of each window, in flat
+    place: np.ndarray  # of each window, in its item
+    size: np.ndarray
+    order: np.ndarray | None = None  # (window, window size): its places, rarest term first; repeats and padding last
+    distinct: np.ndarray | None = None  # number of distinct terms
+    need: np.ndarray | None = None  # how many of them make a proximity match
+
+    @classmethod
+    def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> TestBlock:
+        hashes = WordHashes(5)
+        tokens = [hashes.of(ws, len(ws)) for _, ws in items]
+        terms, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_inverse=True)
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        windows = np.maximum(1, lengths - window + 1)
+        item = np.repeat(np.arange(len(items)), windows)
+        inside = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = np.repeat(np.cumsum(lengths) - lengths, windows) + inside
+        return cls([i for i, _ in items], terms, flat.astype(np.int32), item, start, inside, np.minimum(window, lengths)[item])
+
+    def choose(self, counts: np.ndarray, window: int, share: float) -> None:
+        """Order of each window's terms by ``counts`` in the corpus, and how many a proximity match needs."""
+        n, far = len(self.item), np.iinfo(np.int64).max
+        self.order, self.distinct = np.zeros((n, window), np.int8), np.zeros(n, np.int64)
+        for i in range(0, n, 4096):
+            at = slice(i, min(n, i + 4096))
+            real = np.arange(window) < self.size[at, None]
+            term = np.where(real, self.flat[np.minimum(self.start[at, None] + np.arange(window), len(self.flat) - 1)], -1)
+            again = ((term[:, :, None] == term[:, None, :]) & np.tri(window, k=-1, dtype=bool)).any(axis=2)
+            fresh = real & ~again
+            key = np.where(fresh, counts[term], np.where(real, far - 1, far))
+            self.order[at] = np.argsort(key, axis=1, kind="stable")
+            self.distinct[at] = fresh.sum(axis=1)
+        self.need = np.ceil(share * self.distinct - 1e-9).astype(np.int64)
+
+
+class Shard:
+    """One row of the index, read for the terms of a test block."""
+
+    def __init__(self, row: dict, test_terms: np.ndarray):
+        self.ids, self.checks = row["ids"], row["checks"]
+        self.lengths = _unpack(row["lengths"])
+        self.starts = np.cumsum(self.lengths + _GAP) - self.lengths - _GAP
+        self.end = int(self.lengths.sum()) + _GAP * len(self.lengths) + 1
+        terms, counts = np.frombuffer(row["terms"], np.uint64), _unpack(row["counts"])
+        upto = np.cumsum(counts)
+        at = np.minimum(np.searchsorted(terms, test_terms), max(0, len(terms) - 1))
+        has = terms[at] == test_terms if len(terms) else np.zeros(len(test_terms), bool)
+        self.first = np.where(has, upto[at] - counts[at], 0) if len(terms) else np.zeros(len(test_terms), np.int64)
+        self.count = np.where(has, counts[at], 0) if len(terms) else np.zeros(len(test_terms), np.int64)
+        steps = _unpack(row["places"])
+        run = np.cumsum(steps)
+        before = np.append(0, run)[upto - counts] if len(counts) else run[:0]
+        self.places = run - np.repeat(before, counts)
+        # All lists as one sorted list of (list, place): an intersection is a search in it.
+        self.number = np.where(has, at, -1)
+        self.keys = np.repeat(np.arange(len(terms)), counts) * self.end + self.places
+
+    def postings(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every place of every one of the terms: (index into ``term``, place)."""
+        n = self.count[term]
+        which = np.repeat(np.arange(len(term)), n)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        return which, self.places[self.first[term][which] + inside]
+
+    def has(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each place is in the list of its term."""
+        number = self.number[term]
+        key = number * self.end + place
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (number >= 0) & (place >= 0) & (place < self.end) & (self.keys[at] == key)
+
+    def documents(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, place, side="right") - 1
+
+
+def phrases(b: TestBlock, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place) of every occurrence of a window: intersections of lists, the rarest first."""
+    lead = b.order[:, 0]
+    window, place = shard.postings(b.flat[b.start + lead])
+    start = place - lead[window]
+    for k in range(1, b.order.shape[1]):
+        offset = b.order[window, k]
+        real = offset < b.size[window]
+        term = b.flat[np.where(real, b.start[window] + offset, 0)]
+        kept = ~real | shard.has(term, start + offset)
+        window, start = window[kept], start[kept]
+    return window, start
+
+
+def neighbours(b: TestBlock, shard: Shard, slack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, candidate, start): stretches of window size + ``slack`` places with as many distinct terms as needed.
+
+    ``start`` is the first place of the earliest such stretch that holds the candidate; a gap between documents has no
+    terms, so a stretch never joins two.
+    """
+    wide = b.order.shape[1]
+    own = wide + slack - 1
+    span = np.arange(-own, own + 1)
+    term_at = np.full(shard.end + 2 * _GAP, -1, np.int32)  # the lists of the test terms, laid out by place
+    which, place = shard.postings(np.arange(len(b.terms)))
+    term_at[place] = which
+    found = [(np.zeros(0, np.int64),) * 3]
+    missing = b.distinct - b.need
+    for k in range(int(missing.max(initial=-1)) + 1):
+        asked = np.flatnonzero((missing >= k) & (b.distinct > 1))
+        at, place = shard.postings(b.flat[b.start[asked] + b.order[asked, k]])
+        for i in range(0, len(at), _PAIRS):
+            w, p = asked[at[i : i + _PAIRS]], place[i : i + _PAIRS]
+            near = term_at[p[:, None] + span]  # places before the first one read the empty end
+            slots = np.zeros((len(w), wide, len(span)), bool)
+            for j in range(wide):
+                used = j < b.distinct[w]
+                term = np.where(used, b.flat[np.where(used, b.start[w] + b.order[w, j], 0)], -2)
+                slots[:, j] = near == term[:, None]
+            some = slots.any(axis=2).sum(axis=1) >= b.need[w]
+            w, p, slots = w[some], p[some], slots[some]
+            run = np.concatenate((np.zeros((len(w), wide, 1), np.int16), np.cumsum(slots, axis=2, dtype=np.int16)), axis=2)
+            reach, least = b.size[w] + slack, np.full(len(w), -1, np.int64)
+            for r in np.unique(reach):
+                mine = np.flatnonzero(reach == r)
+                for s in range(own, own - r, -1):
+                    enough = ((run[mine, :, s + r] - run[mine, :, s]) > 0).sum(axis=1) >= b.need[w[mine]]
+                    least[mine[enough]] = s
+            ok = least >= 0
+            found.append((w[ok], p[ok], p[ok] + span[least[ok]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _lists(doc: np.ndarray, n_docs: int, values: pa.Array) -> pa.ListArray:
+    """Values, sorted by document, as one list a document."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n_docs + 1)), pa.int32()), values)
+
+
+def _matches(b: TestBlock, shard: Shard, slack: int | None) -> list[pa.Array]:
+    """Columns spans, items, near, with a row for each document of the shard."""
+    n, names = len(shard.lengths), sorted(set(b.ids))
+    rank = {x: i for i, x in enumerate(names)}
+    rank = np.array([rank[x] for x in b.ids], np.int64)
+    window, start = phrases(b, shard)
+    order = np.argsort(start, kind="stable")
+    window, start = window[order], start[order]
+    doc, stop = shard.documents(start), np.maximum.accumulate(start + b.size[window])
+    first = np.flatnonzero(np.append(True, start[1:] > stop[:-1])[: len(start)])
+    last = np.append(first[1:], len(start))[: len(first)] - 1
+    base = shard.starts[doc[first]]
+    spans = pa.StructArray.from_arrays([pa.array(start[first] - base, pa.int32()), pa.array(stop[last] - base, pa.int32())], ["start", "stop"])
+    item = np.unique(doc * max(1, len(names)) + rank[b.item[window]])
+    item_doc, item = item // max(1, len(names)), item % max(1, len(names))
+    items = pa.array(names, pa.string()).take(pa.array(item, pa.int64()))
+    w = at = near_doc = np.zeros(0, np.int64)
+    if slack is not None:
+        w, candidate, at = neighbours(b, shard, slack)
+        near_doc = shard.documents(candidate)
+        order = np.lexsort((at, w, near_doc))
+        key = (near_doc * max(1, len(b.item)) + w)[order]
+        order = order[np.append(True, key[1:] != key[:-1])[: len(key)]]
+        order = order[~np.isin((near_doc * max(1, len(b.item)) + w)[order], doc * max(1, len(b.item)) + window)]
+        w, near_doc, at = w[order], near_doc[order], np.maximum(0, at[order] - shard.starts[near_doc[order]])
+    near = pa.StructArray.from_arrays([pa.array(b.ids, pa.string()).take(pa.array(b.item[w], pa.int64())), pa.array(b.place[w], pa.int32()), pa.array(at, pa.int32())], ["item", "place", "start"])
+    return [_lists(doc[first], n, spans), _lists(item_doc, n, items), _lists(near_doc, n, near)]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -60,156 +263,117 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         part = benchmark.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)) == k)
         rows = part.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col).distinct().toLocalIterator()
         items = [(i, split_words((t or "").encode())) for i, t in rows]
-        if items := sorted(x for x in items if x[1]):
-            yield items
-
-
-def _count_terms(docs: DataFrame, block: TestBlock) -> dict[int, int]:
-    """How often each test term occurs in all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(block.terms)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = shared.value.get, Counter()
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                seen.update(map(number, split_words(text)))
-        seen.pop(None, None)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int32()), pa.array(seen.values(), pa.int64())], ["term", "n"])
+        yield sorted(x for x in items if x[1])
 
-    counts = docs.select("t").mapInArrow(kernel, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = {r.term: r.n for r in counts.toLocalIterator()}  # no more rows than the block has terms
-    shared.unpersist()
-    return found
 
-
-def _index(docs: DataFrame, block: TestBlock) -> DataFrame:
-    """Postings of the rarest terms, and one row a document with term -1 and its number of words as position."""
-    w = block.window
-    shared = docs.sparkSession.sparkContext.broadcast((block.terms, {t for t, n in block.terms.items() if n in block.anchors}))
+def _count_terms(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each test term occurs in all documents; reads two columns of the index."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, rare = shared.value
-        number = terms.get
+        seen = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            term, row, place, around = [], [], [], []
-            for n, text in enumerate(texts_of(batch.column(2))):
-                words = split_words(text)
-                term.append(-1), row.append(n), place.append(len(words)), around.append(None)
-                if rare.isdisjoint(words):
-                    continue
-                for i in [i for i, x in enumerate(words) if x in rare]:
-                    before, after = words[max(0, i - w + 1) : i], words[i : i + w]
-                    ids = [-1] * (w - 1 - len(before)) + [number(x, -1) for x in before + after]
-                    term.append(number(words[i])), row.append(n), place.append(i)
-                    around.append(np.array(ids + [-1] * (2 * w - 1 - len(ids)), dtype=np.int32).tobytes())
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(around, pa.binary())], ["term", "id", "check", "place", "around"])
-
-    bounded_batches(docs.sparkSession)
-    rows = docs.select("id", "check", "t")
-    return cut(rows.mapInArrow(kernel, f"term int, id {rows.schema['id'].dataType.simpleString()}, check long, place int, around binary"), "postings")
-
-
-def _intersect(postings: DataFrame, block: TestBlock, near_share: float) -> DataFrame:
-    """(id, check, item, start, stop): words [start, stop) of a document that lie in windows of an item; proximity
-    matches have start = stop = -1."""
-    w = block.window
-    shared = postings.sparkSession.sparkContext.broadcast(block)
-    schema = f"id {postings.schema['id'].dataType.simpleString()}, check long, item string, start int, stop int"
+            for have, counts in zip(batch.column(0), batch.column(1), strict=True):
+                have = np.frombuffer(have.as_py(), np.uint64)
+                at = np.searchsorted(shared.value, have)
+                ok = shared.value[np.minimum(at, max(0, len(seen) - 1))] == have if len(seen) else np.zeros(len(have), bool)
+                seen[at[ok]] += _unpack(counts.as_py())[ok]
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["term", "n"])
+
+    total = np.zeros(len(terms), np.int64)
+    with bounded_batches(index.sparkSession):
+        found = index.select("terms", "counts").mapInArrow(kernel, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        for r in found.toLocalIterator():  # no more rows than the block has terms
+            total[r.term] = r.n
+    shared.destroy()
+    return total
+
+
+def _search(index: DataFrame, block: TestBlock, slack: int | None) -> DataFrame:
+    """(shard, n, id, check, n_words, spans, items, near) of every document, written."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        padded = [np.concatenate((np.full(w, -2, np.int32), ws, np.full(w, -2, np.int32))) for ws in b.words]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            term, place = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            around = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.int32).reshape(-1, 2 * w - 1)
-            row, item, start, stop = [], [], [], []
-            order = np.argsort(term, kind="stable")
-            edges = np.flatnonzero(np.diff(term[order], prepend=-9))
-            for rows in np.split(order, edges[1:]):
-                lists = around[rows]
-                for n, at in b.anchors[int(term[rows[0]])]:
-                    want = padded[n][at + 1 : at + 2 * w]
-                    same = lists == want
-                    left = np.cumprod(same[:, : w - 1][:, ::-1], axis=1, dtype=np.int8).sum(axis=1)
-                    right = np.cumprod(same[:, w:], axis=1, dtype=np.int8).sum(axis=1)
-                    size = min(w, len(b.words[n]))
-                    hit = left + right + 1 >= size
-                    for k in np.flatnonzero(hit):
-                        row.append(rows[k]), item.append(b.ids[n])
-                        start.append(place[rows[k]] - left[k]), stop.append(place[rows[k]] + right[k] + 1)
-                    distinct = np.unique(want[want >= 0])
-                    if size >= w and not hit.all():
-                        near = np.zeros(len(rows), np.int32)
-                        for t in distinct:
-                            near += (lists == t).any(axis=1)
-                        for k in np.flatnonzero(~hit & (near >= np.ceil(near_share * len(distinct)))):
-                            row.append(rows[k]), item.append(b.ids[n]), start.append(-1), stop.append(-1)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(item, pa.string()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["id", "check", "item", "start", "stop"])
-
-    return postings.where("term >= 0").mapInArrow(kernel, schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share_of: int = 20, near_share: float = 0.8, block_bytes: int = 16 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items, spans.
-
-    A word is hit inside any occurrence of a window of ``window`` consecutive item words (a shorter item is one
-    window); contaminated: some hit, and hits are at least one in ``share_of`` words.  n_near counts proximity matches
-    and decides nothing.  Nulls and texts without words have no words and match nothing; repeated rows come out
-    repeated with equal results; an empty table of either kind gives an empty, or all-clean, result.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("check"), F.col(text_col).alias("t"))
-    lengths, found = None, None
-    bounded_batches(spark)
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in ("lengths", "terms", "counts", "places")}
+                row = {name: v.as_py() for name, v in row.items()} | {"ids": batch.column("ids")[i].values, "checks": batch.column("checks")[i].values}
+                shard = Shard(row, shared.value.terms)
+                n = len(shard.lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("shard")[i].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), shard.ids, shard.checks, pa.array(shard.lengths, pa.int64()), *_matches(shared.value, shard, slack)],
+                    ["shard", "n", "id", "check", "n_words", "spans", "items", "near"],
+                )
+
+    id_type = index.schema["ids"].dataType.elementType.simpleString()
+    schema = f"shard long, n int, id {id_type}, check long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, near array<struct<item:string,place:int,start:int>>"
+    with bounded_batches(index.sparkSession, 16):
+        out = cut(index.mapInArrow(kernel, schema), "matches")
+    shared.destroy()
+    return out
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share_of: int = 20, near_share: float | None = 0.8, near_slack: int = 3, block_bytes: int = 4 << 20) -> DataFrame:
+    if not 0 < window + near_slack < _GAP:
+        raise ValueError(f"window and near_slack must be fewer than {_GAP} places")
+    index = build_index(docs.select(F.col(id_col).alias("id"), text_check(text_col).alias("check"), F.col(text_col).alias("t")))
+    parts = []
     for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        block = TestBlock(items, window)
-        block.choose(_count_terms(rows, block))
-        postings = _index(rows, block)
-        lengths = lengths if lengths is not None else postings.where("term = -1")
-        hits = _intersect(postings, block, near_share)
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        block = TestBlock([], window)
-        postings = _index(rows, block)
-        lengths, found = postings.where("term = -1"), _intersect(postings, block, near_share)
-    lengths = lengths.select("id", "check", F.col("place").cast("long").alias("n_words"))
-    exact = F.col("start") >= 0
-    per = found.groupBy("id", "check").agg(
-        F.array_sort(F.collect_set(F.when(exact, F.struct("start", "stop")))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(exact, F.col("item")))).alias("items"),
-        F.count_if(~exact).alias("n_near"),
-    )
+        block = TestBlock.of(items, window)
+        block.choose(_count_terms(index, block.terms), window, 1.0 if near_share is None else near_share)
+        parts.append(_search(index, block, None if near_share is None else near_slack))
+    found = parts[0]
+    if len(parts) > 1:  # one row a document and block
+        whole = parts[0]
+        for part in parts[1:]:
+            whole = whole.unionByName(part)
+        every = lambda c: F.flatten(F.collect_list(c))
+        found = whole.groupBy("shard", "n").agg(F.first("id").alias("id"), F.first("check").alias("check"), F.first("n_words").alias("n_words"), F.array_sort(every("spans")).alias("spans"), F.array_sort(F.array_distinct(every("items"))).alias("items"), F.array_sort(every("near")).alias("near"))
+        found = cut(found, "matches")
+    drop_cut(index, *[p for p in parts if p is not found])
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
         lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["stop"]).alias("upto")),
         lambda a: a["n"],
     )
-    per = per.select(F.col("id").alias("k"), F.col("check").alias("c"), "spans", "items", "n_near", covered.cast("long").alias("n_hit"))
-    out = lengths.join(per, lengths.id.eqNullSafe(per.k) & (lengths.check == per.c), "left")
-    n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
+    found = found.withColumn("n_hit", covered.cast("long"))
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share_of >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items, spans, near.
+
+    A word is hit inside any occurrence of a window of ``window`` (13) consecutive item words (a shorter item is one
+    window); contaminated: some hit, and hits are at least one in ``share_of`` (20) words.  spans are the hit words'
+    stretches, items the items with such windows.  near lists the proximity matches (item, place of the window in it,
+    place of the stretch in the document): windows of two or more distinct terms that don't occur in the document but
+    ``near_share`` (0.8) of whose distinct terms do, in any order, within the window's size and ``near_slack`` (3)
+    places more; the earliest stretch of each.  They decide nothing; ``near_share`` None leaves them out.
+
+    Nulls and texts without words have no words and match nothing; a null item id is the empty text; repeated rows
+    come out repeated with equal results; an empty table of either kind gives an empty, or all-clean, result.
+    """
+    found = _decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **how)
+    return found.select(
         F.col("id").alias(id_col),
         "n_words",
-        n_hit.alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share_of >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
-        names.alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+        F.size("near").cast("long").alias("n_near"),
+        "items",
+        "spans",
+        "near",
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    found = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **how)
-    goes = cut(found.where("contaminated").select(F.col(id_col).alias("__goes")).distinct(), "goes")
-    return docs.join(goes, docs[id_col].eqNullSafe(goes["__goes"]), "left_anti")
+    """The rows of ``docs`` that aren't contaminated, with all their columns; rows are known by id and text."""
+    found = _decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **{"near_share": None} | how)
+    return without(docs, found.where("contaminated"), id_col, text_col)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
