@@ -1 +1 @@
-"""strata: layouts, routes and layout quality for tables of graphs, as Spark plans."""
+"""strata: arrangements, routes and quality of drawings for tables of graphs, as Spark plans."""

@@ -1,4 +1,4 @@
-"""Tree and radial layouts as set operations over the closure, force layout and obstacle-avoiding routes as kernels."""
+"""Tree and radial arrangements as set operations over the closure, force arrangement and obstacle-avoiding routes as kernels."""
 
 from __future__ import annotations
 
@@ -28,19 +28,19 @@ def tree_slots(nodes: DataFrame) -> DataFrame:
     return n.drop("path").join(spans, ["graph_id", "node_id"]).join(counts, "graph_id")
 
 
-def tree_layout(nodes: DataFrame, across: float = 60.0, down: float = 100.0) -> DataFrame:
+def tree_arrangement(nodes: DataFrame, across: float = 60.0, down: float = 100.0) -> DataFrame:
     """Leaves side by side, a parent over the middle of its leaves, levels below each other."""
     return tree_slots(nodes).select("graph_id", "node_id", ((F.col("low") + F.col("high")) / 2 * across).alias("x"), (F.col("depth") * down).alias("y"))
 
 
-def radial_layout(nodes: DataFrame, ring: float = 100.0) -> DataFrame:
+def radial_arrangement(nodes: DataFrame, ring: float = 100.0) -> DataFrame:
     """Levels on rings, leaves spread evenly over the circle."""
     angle = 2 * math.pi * ((F.col("low") + F.col("high")) / 2 + 0.5) / F.col("leaves")
     at = lambda f: F.round(F.col("depth") * ring * f(angle), 6) + 0.0
     return tree_slots(nodes).select("graph_id", "node_id", at(F.cos).alias("x"), at(F.sin).alias("y"))
 
 
-def force_layout(n: int, edges: Edges, length: float = 100.0, rounds: int = 300, least: float = 1e-3) -> np.ndarray:
+def force_arrangement(n: int, edges: Edges, length: float = 100.0, rounds: int = 300, least: float = 1e-3) -> np.ndarray:
     """Springs along edges, repulsion between all nodes, steps bounded by a falling temperature; starts on a circle."""
     turn = 2 * np.pi * np.arange(n) / max(1, n)
     p = np.stack((np.cos(turn), np.sin(turn)), axis=1) * length

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weighted in- and out-degree of every node; self-loops don't count."""
@@ -32,19 +34,20 @@ def closure(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, ancestor_id, depth) for every proper ancestor: one broadcastable self-join per level, with
     paths doubled every round, so a hierarchy of depth d takes log2(d) rounds.  A cycle is an error."""
     step = nodes.where("parent_id is not null").select("graph_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    reach = step
-    rounds = 0
+    reach, rounds = step, 0
     while True:
         far = reach.select("graph_id", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("up"), F.col("depth").alias("more"))
         longest = reach.groupBy("graph_id", "node_id").agg(F.max_by("ancestor_id", "depth").alias("ancestor_id"), F.max("depth").alias("depth"))
         new = longest.join(far, ["graph_id", "ancestor_id"]).select("graph_id", "node_id", F.col("up").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        if rounds >= 3:  # deep ones are written, or each round would compute all before it again
+            new = written(new, "closure")
         if not new.limit(1).count():
             return reach
         if new.where("node_id = ancestor_id").limit(1).count():
             raise ValueError("a node is its own ancestor: parents form a cycle")
         reach, rounds = reach.unionByName(new), rounds + 1
-        if rounds >= 5:  # deep ones are written, or each round would compute all before it again
-            reach = reach.localCheckpoint()
+        if rounds >= 3:
+            reach = written(reach, "closure")
 
 
 def world_frames(nodes: DataFrame) -> DataFrame:
@@ -90,11 +93,21 @@ def split_long_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def layer_crossings(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """Crossings of edges between neighbouring layers, per graph and layer: inversions by a join within the layer."""
+    """Crossings of edges between neighbouring layers, per graph and layer.
+
+    Crossings are inversions.  Two target positions differ first at one bit: for each bit, edges with equal higher bits
+    are walked by source position, and one whose bit is 0 crosses all before it whose bit is 1.  So an edge is looked at
+    once a bit, and never met by every other edge.
+    """
     at = order.select("graph_id", "node_id", "layer", "pos")
-    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "layer": "sl", "pos": "sp"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "layer": "tl", "pos": "tp"}), ["graph_id", "target_id"]).where("tl = sl + 1").select("graph_id", "edge_id", "sl", "sp", "tp")
-    f = e.select("graph_id", F.col("sl"), F.col("sp").alias("sp2"), F.col("tp").alias("tp2"))
-    return e.join(f, ["graph_id", "sl"]).where("sp < sp2 and tp > tp2").groupBy("graph_id", F.col("sl").alias("layer")).agg(F.count("*").alias("crossings"))
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "layer": "sl", "pos": "sp"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "layer": "tl", "pos": "tp"}), ["graph_id", "target_id"]).where("tl = sl + 1")
+    most = order.groupBy("graph_id", F.col("layer").alias("tl")).agg(F.length(F.bin(F.max("pos"))).alias("bits"))
+    alike = e.groupBy("graph_id", "sl", "tl", "sp", "tp").agg(F.count("*").alias("n")).join(most, ["graph_id", "tl"])
+    bit = alike.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)))
+    bit = bit.select("graph_id", "sl", "b", "sp", "n", F.expr("shiftright(tp, b + 1)").alias("high"), F.expr("shiftright(tp, b) & 1").alias("one"))
+    by = Window.partitionBy("graph_id", "sl", "b", "high").orderBy("sp").rangeBetween(Window.unboundedPreceding, -1)
+    met = bit.withColumn("before", F.sum(F.when(F.col("one") == 1, F.col("n"))).over(by)).where("one = 0 and before is not null")
+    return met.groupBy("graph_id", F.col("sl").alias("layer")).agg(F.sum(F.col("n") * F.col("before")).alias("crossings"))
 
 
 def barycenters(edges: DataFrame, order: DataFrame) -> DataFrame:

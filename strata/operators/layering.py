@@ -115,7 +115,7 @@ def aligned_placement(rows: list[list[int]], edges: Edges, size: list[float], ga
     """Centres across the layers by aligning nodes with their median neighbours (Brandes and Köpf, 2001): four
     alignments (down or up, left or right), each compacted by longest paths between blocks, then the mean of the two
     middle ones.  Edges between two nodes of ``inner`` (stand-ins of long edges) win conflicts with others."""
-    total, layouts = sum(map(len, rows)), []
+    total, drawn = sum(map(len, rows)), []
     for up in (False, True):
         for right in (False, True):
             order = [r[::-1] if right else r for r in (rows[::-1] if up else rows)]
@@ -145,12 +145,12 @@ def aligned_placement(rows: list[list[int]], edges: Edges, size: list[float], ga
                         x[b], moved = x[a] + far, True
                 if not moved:
                     break
-            layouts.append([(-1 if right else 1) * x[root[a]] for a in range(total)])
+            drawn.append([(-1 if right else 1) * x[root[a]] for a in range(total)])
     if not total:
         return []
-    narrow = min(layouts, key=lambda l: max(l) - min(l))
+    narrow = min(drawn, key=lambda l: max(l) - min(l))
     shifted = []
-    for k, l in enumerate(layouts):
+    for k, l in enumerate(drawn):
         by = max(narrow) - max(l) if k % 2 else min(narrow) - min(l)
         shifted.append([v + by for v in l])
     return [sum(sorted(v)[1:3]) / 2 for v in zip(*shifted, strict=True)]

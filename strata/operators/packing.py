@@ -1,4 +1,4 @@
-"""Packers and fixed layouts.  A row of a packed table is one graph; rows are folded in their authored order.
+"""Packers and fixed arrangements.  A row of a packed table is one graph; rows are folded in their authored order.
 
 The fold of one graph's nodes runs inside one row (an ``aggregate`` over an ordered array), so a graph must fit a
 task; graphs spread over the cluster by ``graph_id``.

@@ -1,4 +1,4 @@
-"""Layout quality over routes (graph_id, edge_id, points) and node rectangles: spatial joins on a grid, then exact tests."""
+"""Quality of drawings over routes (graph_id, edge_id, points) and node rectangles: spatial joins on a grid, then exact tests."""
 
 from __future__ import annotations
 
@@ -20,19 +20,36 @@ def route_segments(routes: DataFrame) -> DataFrame:
     return s.select("graph_id", "edge_id", "k", *[f(F.col(f"s.a.{c}"), F.col(f"s.b.{c}")).alias(n) for n, f, c in (("x1", F.least, "x"), ("x2", F.greatest, "x"), ("y1", F.least, "y"), ("y2", F.greatest, "y"))])
 
 
-def _cells(x1: Column, x2: Column, y1: Column, y2: Column, size: float) -> Column:
-    low = lambda a: F.floor(a / size).cast("long")
+def _level(x1: str, x2: str, y1: str, y2: str, size: float) -> Column:
+    """0 for a box of up to a cell's size, 1 for up to twice that, and so on: it lies in four cells of its level at most."""
+    far = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1)) / size
+    return F.when(far > 1, F.ceil(F.log2(far))).otherwise(0).cast("int")
+
+
+def _cells(x1: Column, x2: Column, y1: Column, y2: Column, side: Column) -> Column:
+    low = lambda a: F.floor(a / side).cast("long")
     return F.flatten(F.transform(F.sequence(low(x1), low(x2)), lambda i: F.transform(F.sequence(low(y1), low(y2)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
 def grid_join(a: DataFrame, b: DataFrame, test: Column, size: float = 128.0) -> DataFrame:
     """Pairs of boxes (x1, x2, y1, y2; b's columns end in _b) of one graph that share a cell and pass ``test``.
 
-    A pair is reported in one cell only, that of the larger of the lower corners, so no distinct step is needed."""
-    left = a.withColumn("c", F.explode(_cells(F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"), size))).select("*", "c.cx", "c.cy").drop("c")
-    right = b.withColumn("c", F.explode(_cells(F.col("x1_b"), F.col("x2_b"), F.col("y1_b"), F.col("y2_b"), size))).select("*", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")).drop("c")
-    home = (F.floor(F.greatest("x1", "x1_b") / size) == F.col("cx")) & (F.floor(F.greatest("y1", "y1_b") / size) == F.col("cy"))
-    return left.join(right, ["graph_id", "cx", "cy"]).where(home & test).drop("cx", "cy")
+    The grid has levels, each with cells twice as wide as the one below.  A box goes to the cells of its own level and
+    of those coarser levels that its graph has boxes of, so the largest one makes a few rows, not one a small cell.  A
+    pair is reported once: at the coarser of its levels, in the cell of the larger of the lower corners.
+    """
+    corners = ("x1", "x2", "y1", "y2")
+    own = lambda df, s: df.withColumn(f"level{s}", _level(*[c + s for c in corners], size))
+    a, b = own(a, ""), own(b, "_b")
+    levels = a.select("graph_id", "level").unionByName(b.select("graph_id", F.col("level_b").alias("level"))).distinct()
+    side = size * F.pow(F.lit(2.0), F.col("l"))
+
+    def dealt(df: DataFrame, s: str) -> DataFrame:
+        at = df.join(levels.withColumnRenamed("level", "l"), "graph_id").where(f"l >= level{s}")
+        return at.select("*", F.explode(_cells(*[F.col(c + s) for c in corners], side)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+
+    home = (F.col("l") == F.greatest("level", "level_b")) & (F.floor(F.greatest("x1", "x1_b") / side) == F.col("cx")) & (F.floor(F.greatest("y1", "y1_b") / side) == F.col("cy"))
+    return dealt(a, "").join(dealt(b, "_b"), ["graph_id", "l", "cx", "cy"]).where(home & test).drop("l", "cx", "cy", "level", "level_b")
 
 
 def boxes(nodes: DataFrame) -> DataFrame:

@@ -205,12 +205,12 @@ def _spore_sql(far: str) -> str:
 
 
 @query(_spore_sql("({need})"), TRANSITION_SQL)
-def layout_spore_compaction(spark: SparkSession, d: str) -> DataFrame:
+def arrange_spore_compaction(spark: SparkSession, d: str) -> DataFrame:
     return P.relative_spread(transition_graphs(spark, d)[0], True)
 
 
 @query(_spore_sql("greatest({delta}, {need})"), TRANSITION_SQL)
-def layout_spore_overlap(spark: SparkSession, d: str) -> DataFrame:
+def arrange_spore_overlap(spark: SparkSession, d: str) -> DataFrame:
     return P.relative_spread(transition_graphs(spark, d)[0], False)
 
 
@@ -224,7 +224,7 @@ def _shelf(left: float, gap: float, wrap: str, order: str, most: str) -> tuple[s
 
 
 @query("SELECT graph_id, node_id, x, y, width, height FROM shelf", TRANSITION_SQL, *_shelf(0.0, 20.0, "s.x + s.width + 20.0 + i.width > i.most", "n.ord", "SELECT graph_id, greatest(1.0, sqrt(sum((width + 20.0) * (height + 20.0))) * 1.5) AS most FROM nodes GROUP BY graph_id"), recursive=True)
-def layout_rectpack(spark: SparkSession, d: str) -> DataFrame:
+def arrange_rectpack(spark: SparkSession, d: str) -> DataFrame:
     return P.rectangle_packing(transition_graphs(spark, d)[0])
 
 
@@ -232,7 +232,7 @@ _BOX = "SELECT graph_id, greatest(widest, sqrt((t2 + sqrt(t2) * 15.0) * CAST(CAS
 
 
 @query("SELECT graph_id, node_id, x, y, width, height FROM shelf", TRANSITION_SQL, *_shelf(15.0, 15.0, "s.x + s.width + 15.0 + i.width > i.most", "n.width * n.height, n.ord", _BOX), recursive=True)
-def layout_box(spark: SparkSession, d: str) -> DataFrame:
+def arrange_box(spark: SparkSession, d: str) -> DataFrame:
     return P.box_packing(transition_graphs(spark, d)[0])
 
 
@@ -282,9 +282,9 @@ def patches_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT graph_id, 0 AS worse FROM nodes GROUP BY graph_id", TRANSITION_SQL)
-def layout_stress(spark: SparkSession, d: str) -> DataFrame:
+def arrange_stress(spark: SparkSession, d: str) -> DataFrame:
     def rows(ids, _, es):
-        p, before, after = K.stress_layout(len(ids), es)
+        p, before, after = K.stress_arrangement(len(ids), es)
         yield (int(after > before + 1e-9 or not (p == p).all()),)
 
     return per_graph(*transition_graphs(spark, d), rows, "worse int")

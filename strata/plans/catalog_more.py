@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +9,9 @@ from ..functions import geometry as g
 from ..operators import graph as G
 from ..operators import kernels as K
 from ..operators import layering as L
-from ..operators import layouts, quality
+from ..operators import arrangements, quality
 from ..sources.graphs import CONTAINMENT_SQL, TRANSITION_SQL, containment, transition_graphs
+from ..storage import shared_dir
 from ..streaming import edges as stream
 from .catalog import _DAG_LAYERS as _LAYERS
 from .catalog import _DAG_ORIENT as _ORIENT
@@ -159,19 +158,19 @@ _TREE = " up AS (SELECT graph_id, node_id, node_id AS at, node_id AS path, paren
 
 
 @query("SELECT graph_id, node_id, mid * 60.0 AS x, depth * CAST(100 AS DOUBLE) AS y FROM slots", CONTAINMENT_SQL, _TREE, recursive=True)
-def layout_tree(spark: SparkSession, d: str) -> DataFrame:
-    return layouts.tree_layout(containment(spark, d))
+def arrange_tree(spark: SparkSession, d: str) -> DataFrame:
+    return arrangements.tree_arrangement(containment(spark, d))
 
 
 @query("SELECT graph_id, node_id, round(depth * 100.0 * cos(2 * pi() * (mid + 0.5) / leaves), 6) + 0.0 AS x, round(depth * 100.0 * sin(2 * pi() * (mid + 0.5) / leaves), 6) + 0.0 AS y FROM slots", CONTAINMENT_SQL, _TREE, recursive=True)
-def layout_radial(spark: SparkSession, d: str) -> DataFrame:
-    return layouts.radial_layout(containment(spark, d))
+def arrange_radial(spark: SparkSession, d: str) -> DataFrame:
+    return arrangements.radial_arrangement(containment(spark, d))
 
 
 @query("SELECT graph_id, 0 AS bad FROM nodes GROUP BY graph_id", TRANSITION_SQL)
-def layout_force(spark: SparkSession, d: str) -> DataFrame:
+def arrange_force(spark: SparkSession, d: str) -> DataFrame:
     def rows(ids, _, es):
-        a, b = layouts.force_layout(len(ids), es), layouts.force_layout(len(ids), es)
+        a, b = arrangements.force_arrangement(len(ids), es), arrangements.force_arrangement(len(ids), es)
         yield (int(not (abs(a) < 1e6).all() or (a != b).any()),)
 
     return per_graph(*transition_graphs(spark, d), rows, "bad int")
@@ -211,7 +210,7 @@ def route_orthogonal(spark: SparkSession, d: str) -> DataFrame:
         for s, t, _ in es:
             if s == t:
                 continue
-            p = layouts.orthogonal_route(boxes[s], boxes[t], [b for k, b in enumerate(boxes) if k not in (s, t)])
+            p = arrangements.orthogonal_route(boxes[s], boxes[t], [b for k, b in enumerate(boxes) if k not in (s, t)])
             routes += 1
             inside = any(min(a[0], b[0]) < x + w and max(a[0], b[0]) > x and min(a[1], b[1]) < y + h and max(a[1], b[1]) > y for a, b in zip(p, p[1:]) for x, y, w, h in boxes)
             bad += inside or any(a[0] != b[0] and a[1] != b[1] for a, b in zip(p, p[1:]))
@@ -226,5 +225,4 @@ def stream_update_state(spark: SparkSession, d: str) -> DataFrame:
     """Edge weights kept by a stateful stream over the events: the same as the batch derives."""
     path = f"{d}/event[s].parquet"  # as a pattern: a stream takes a single file only so
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strata-stream-")
-    return stream.latest(stream.run_available(spark, stream.edge_changes(events), folder))
+    return stream.latest(stream.run_available(spark, stream.edge_changes(events), shared_dir(spark)))

@@ -113,7 +113,7 @@ FROM (SELECT *, CASE best WHEN 1 THEN l1 ELSE l0 END AS lb, CASE best WHEN 1 THE
 FROM (SELECT graph_id, CAST(0 AS BIGINT) AS d0, sum(abs(tx - sx) + abs(ty - sy)) AS l0, sum(CASE WHEN least(abs(tx - sx), abs(ty - sy)) > 1e-6 THEN 1 ELSE 0 END) AS d1,
   sum(least(abs(tx - sx), abs(ty - sy)) * sqrt(2.0) + greatest(abs(tx - sx), abs(ty - sy)) - least(abs(tx - sx), abs(ty - sy))) AS l1,
   sum(CASE WHEN least(abs(tx - sx), abs(ty - sy)) > 1e-6 THEN 1 ELSE 0 END) AS d2, sum(sqrt((tx - sx) ** 2 + (ty - sy) ** 2)) AS l2 FROM seg0 GROUP BY graph_id)))""", TRANSITION_SQL, _ELBOW)
-def better_layout_fold(spark: SparkSession, d: str) -> DataFrame:
+def better_candidate_fold(spark: SparkSession, d: str) -> DataFrame:
     """Elbows, octilinear routes and straight lines as candidates; diagonals decide first, then length by 2 %."""
     n, e = transition_graphs(spark, d)
     elbow = quality.elbow_routes(n, e)
@@ -232,13 +232,13 @@ def invalid_graphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT graph_id, count(*) AS n, 0 AS lost FROM nodes GROUP BY graph_id", TRANSITION_SQL)
-def layout_by_name(spark: SparkSession, d: str) -> DataFrame:
+def arrange_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Every registered algorithm for flat graphs places every node once, at finite coordinates."""
     n, e = transition_graphs(spark, d)
     out = None
     flat = [a for a in registry.algorithms() if a not in ("tree", "radial")]
     for a in flat:
-        p = registry.layout(n, e, a).select("graph_id", "node_id", (F.abs("x") + F.abs("y") < float("inf")).alias("ok"))
+        p = registry.arrange(n, e, a).select("graph_id", "node_id", (F.abs("x") + F.abs("y") < float("inf")).alias("ok"))
         out = p if out is None else out.unionByName(p)
     per = out.groupBy("graph_id", "node_id").agg((F.lit(len(flat)) - F.sum(F.col("ok").cast("int"))).alias("lost"))
     return per.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("lost").cast("int").alias("lost"))

@@ -1,4 +1,4 @@
-"""Layout algorithms by name: one call for built-in and registered ones."""
+"""Algorithms of arrangement by name: one call for built-in and registered ones."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import kernels as K
-from ..operators import layouts, packing
+from ..operators import arrangements, packing
 from .runner import per_graph
 
 Algorithm = Callable[..., DataFrame]
@@ -44,12 +44,12 @@ def invalid_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return twice.unionByName(size).unionByName(loose)
 
 
-def layout(nodes: DataFrame, edges: DataFrame, algorithm: str | Algorithm = "layered", **options) -> DataFrame:
+def arrange(nodes: DataFrame, edges: DataFrame, algorithm: str | Algorithm = "layered", **options) -> DataFrame:
     """Placed nodes of every graph by an algorithm, named or given as a function."""
     if callable(algorithm):
         return algorithm(nodes, edges, **options)
     if algorithm not in _ALGORITHMS:
-        raise ValueError(f"no layout algorithm {algorithm!r}; there are {', '.join(algorithms())}")
+        raise ValueError(f"no algorithm {algorithm!r}; there are {', '.join(algorithms())}")
     return _ALGORITHMS[algorithm](nodes, edges, **options)
 
 
@@ -70,12 +70,12 @@ def _points(kernel) -> Algorithm:
 
 
 register("layered", _layered)
-register("force", _points(layouts.force_layout))
-register("stress", _points(lambda n, es, **o: K.stress_layout(n, es, **o)[0]))
+register("force", _points(arrangements.force_arrangement))
+register("stress", _points(lambda n, es, **o: K.stress_arrangement(n, es, **o)[0]))
 register("rectpacking", lambda nodes, edges, **o: packing.rectangle_packing(nodes, **o))
 register("box", lambda nodes, edges, **o: packing.box_packing(nodes, **o))
 register("fixed", lambda nodes, edges, **o: packing.normalised(nodes, **o))
 register("sporeCompaction", lambda nodes, edges, **o: packing.relative_spread(nodes, True, **o))
 register("sporeOverlap", lambda nodes, edges, **o: packing.relative_spread(nodes, False, **o))
-register("tree", lambda nodes, edges, **o: layouts.tree_layout(nodes, **o))
-register("radial", lambda nodes, edges, **o: layouts.radial_layout(nodes, **o))
+register("tree", lambda nodes, edges, **o: arrangements.tree_arrangement(nodes, **o))
+register("radial", lambda nodes, edges, **o: arrangements.radial_arrangement(nodes, **o))

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from strata.operators import kernels as K
 from strata.operators import layering as L
-from strata.operators.layouts import orthogonal_route
+from strata.operators.arrangements import orthogonal_route
 
 graphs = st.integers(1, 6).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1), st.integers(1, 3)), max_size=9)))
 
