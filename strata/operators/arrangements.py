@@ -45,8 +45,10 @@ def force_arrangement(n: int, edges: Edges, length: float = 100.0, rounds: int =
     turn = 2 * np.pi * np.arange(n) / max(1, n)
     p = np.stack((np.cos(turn), np.sin(turn)), axis=1) * length
     ends = np.array([(s, t) for s, t, _ in edges if s != t], np.int64).reshape(-1, 2)
+    apart = (np.arange(n)[:, None] - np.arange(n)[None])[..., None] * np.array([1e-3, 2e-3])
     for k in range(rounds):
         gap = p[:, None] - p[None]
+        gap = np.where((gap == 0).all(axis=2, keepdims=True), apart, gap)  # nodes that meet part again, by their order
         dist = np.maximum(np.sqrt((gap**2).sum(axis=2)), 1e-6)
         push = (gap * (length**2 / dist**2)[..., None]).sum(axis=1)
         pull = p[ends[:, 0]] - p[ends[:, 1]]

@@ -103,15 +103,16 @@ def cycle_interactive_predicate(spark: SparkSession, d: str) -> DataFrame:
 
 def _acyclic(name: str, kernel):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        def rows(ids, _, es):
+        """Which edges the kernel turns round so that no cycle is left; self-loops stay."""
+        def rows(ids, names, es):
             back = kernel(len(ids), es)
             K.longest_path(len(ids), K._flow(es, back))  # raises if a cycle is left
-            yield (len(es), 0)
+            yield from zip(names, map(bool, back), strict=True)
 
-        return per_graph(*transition_graphs(spark, d), rows, "n_edges long, cycles_left int").where("n_edges > 0")
+        return per_graph(*transition_graphs(spark, d), rows, "edge_id string, reversed boolean")
 
     run.__name__ = name
-    query("SELECT graph_id, count(*) AS n_edges, 0 AS cycles_left FROM edges GROUP BY graph_id", TRANSITION_SQL)(run)
+    query()(run)
 
 
 _acyclic("cycle_greedy", K.greedy_orientation)
@@ -128,23 +129,29 @@ def layer_longest_path_sink(spark: SparkSession, d: str) -> DataFrame:
     return _layers(*_dag(spark, d), True)
 
 
-@query("SELECT graph_id, 0 AS violations, 0 AS worse FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def layer_network_simplex(spark: SparkSession, d: str) -> DataFrame:
-    def rows(ids, _, es):
-        a, b = K.network_simplex(len(ids), es), K.longest_path(len(ids), es)
-        cost = lambda l: sum(w * (l[t] - l[s]) for s, t, w in es)
-        yield (sum(a[t] - a[s] < 1 for s, t, _ in es), int(cost(a) > cost(b)))
+    return per_graph(*_dag(spark, d), lambda ids, _, es: zip(ids, K.network_simplex(len(ids), es), strict=True), "node_id string, layer int")
 
-    return per_graph(*_dag(spark, d), rows, "violations int, worse int")
 
+#: Every layering of a graph of up to five nodes, and the least weighted length of its edges among those that fit.
+_EVERY = " flow AS (SELECT graph_id, s, t, sum(weight) AS w FROM (SELECT d.graph_id, d.s, d.t, e.weight FROM dag d JOIN edges e USING (graph_id, edge_id)) GROUP BY ALL), num AS (SELECT n.graph_id, n.node_id, n.ord FROM nodes n), try AS (SELECT range AS code FROM range(3125)), cost AS (SELECT f.graph_id, c.code, sum(f.w * (CAST(floor(c.code / pow(5, b.ord)) AS BIGINT) % 5 - CAST(floor(c.code / pow(5, a.ord)) AS BIGINT) % 5)) AS cost, min(CAST(floor(c.code / pow(5, b.ord)) AS BIGINT) % 5 - CAST(floor(c.code / pow(5, a.ord)) AS BIGINT) % 5) AS least FROM flow f JOIN num a ON a.graph_id = f.graph_id AND a.node_id = f.s JOIN num b ON b.graph_id = f.graph_id AND b.node_id = f.t, try c GROUP BY ALL)"
 
-@query("SELECT graph_id, 0 AS violations, 0 AS too_wide FROM nodes GROUP BY graph_id", TRANSITION_SQL)
-def layer_coffman_graham(spark: SparkSession, d: str) -> DataFrame:
+
+@query("SELECT graph_id, CAST(min(cost) AS BIGINT) AS cost FROM cost WHERE least >= 1 GROUP BY graph_id", TRANSITION_SQL, _ORIENT, _EVERY)
+def layer_network_simplex_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted length of all edges between the layers that network simplex finds: the least there is."""
     def rows(ids, _, es):
-        a = K.coffman_graham(len(ids), es, 2)
-        yield (sum(a[t] <= a[s] for s, t, _ in es), sum(a.count(k) > 2 for k in set(a)))
+        layer = K.network_simplex(len(ids), es)
+        if es:
+            yield (int(sum(w * (layer[t] - layer[s]) for s, t, w in es)),)
+
+    return per_graph(*_dag(spark, d), rows, "cost long")
 
-    return per_graph(*_dag(spark, d), rows, "violations int, too_wide int")
+
+@query()
+def layer_coffman_graham(spark: SparkSession, d: str) -> DataFrame:
+    return per_graph(*_dag(spark, d), lambda ids, _, es: zip(ids, K.coffman_graham(len(ids), es, 2), strict=True), "node_id string, layer int")
 
 
 @query("SELECT graph_id, node_id, layer, pos FROM pos", TRANSITION_SQL, _LAYERS, recursive=True)
@@ -174,17 +181,14 @@ def barycenter_step(spark: SparkSession, d: str) -> DataFrame:
     return G.barycenters(e, G.order_in_layers(n, _layers(n, e)))
 
 
-@query("SELECT graph_id, 0 AS worse FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def layer_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Layers and positions after barycenter sweeps and greedy switches."""
     def rows(ids, _, es):
-        lay = K.longest_path(len(ids), es)
-        start = [[a for a in range(len(ids)) if lay[a] == k] for k in range(max(lay, default=-1) + 1)]
-        swept = K.layer_sweep(lay, es)
-        switched = K.greedy_switch(swept, es)
-        c = [K.count_crossings(x, es) for x in (start, swept, switched)]
-        yield (int(c[1] > c[0] or c[2] > c[1]),)
+        order = K.greedy_switch(K.layer_sweep(K.longest_path(len(ids), es), es), es)
+        yield from ((ids[a], k, pos) for k, row in enumerate(order) for pos, a in enumerate(row))
 
-    return per_graph(*_dag(spark, d), rows, "worse int")
+    return per_graph(*_dag(spark, d), rows, "node_id string, layer int, pos int")
 
 
 _PLACE = """ size AS (SELECT graph_id, layer, max(width) AS lw, sum(height) + (count(*) - 1) * 20.0 AS lh FROM pos GROUP BY ALL),
@@ -281,13 +285,12 @@ def patches_nodes(spark: SparkSession, d: str) -> DataFrame:
     return patches.node_patches(n, new)
 
 
-@query("SELECT graph_id, 0 AS worse FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def arrange_stress(spark: SparkSession, d: str) -> DataFrame:
     def rows(ids, _, es):
-        p, before, after = K.stress_arrangement(len(ids), es)
-        yield (int(after > before + 1e-9 or not (p == p).all()),)
+        yield from ((a, float(p[0]), float(p[1])) for a, p in zip(ids, K.stress_arrangement(len(ids), es)[0], strict=True))
 
-    return per_graph(*transition_graphs(spark, d), rows, "worse int")
+    return per_graph(*transition_graphs(spark, d), rows, "node_id string, x double, y double")
 
 
 @query()

@@ -107,29 +107,19 @@ def layer_bf_model_order(spark: SparkSession, d: str) -> DataFrame:
 
 def _bounded_layers(name: str, kernel) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        def rows(ids, _, es):
-            got = kernel(len(ids), es, [40.0 + 10 * (len(a) % 7) for a in ids])
-            yield (sum(got[t] <= got[s] for s, t, _ in es), sum(k not in got for k in range(max(got) + 1)))
-
-        return per_graph(*_dag(spark, d), rows, "violations int, empty int")
+        return per_graph(*_dag(spark, d), lambda ids, _, es: zip(ids, kernel(len(ids), es, [40.0 + 10 * (len(a) % 7) for a in ids]), strict=True), "node_id string, layer int")
 
     run.__name__ = name
-    query("SELECT graph_id, 0 AS violations, 0 AS empty FROM nodes GROUP BY graph_id", TRANSITION_SQL)(run)
+    query()(run)
 
 
 _bounded_layers("layer_min_width", L.min_width)
 _bounded_layers("layer_stretch_width", L.stretch_width)
 
 
-@query("SELECT graph_id, 0 AS violations, 0 AS worse FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def node_promotion(spark: SparkSession, d: str) -> DataFrame:
-    def rows(ids, _, es):
-        before = K.longest_path(len(ids), es, True)
-        after = L.promote(before, es)
-        cost = lambda l: sum(w * (l[t] - l[s]) for s, t, w in es)
-        yield (sum(after[t] <= after[s] for s, t, _ in es), int(cost(after) > cost(before)))
-
-    return per_graph(*_dag(spark, d), rows, "violations int, worse int")
+    return per_graph(*_dag(spark, d), lambda ids, _, es: zip(ids, L.promote(K.longest_path(len(ids), es, True), es), strict=True), "node_id string, layer int")
 
 
 @query("SELECT p.graph_id, p.node_id, p.layer, row_number() OVER (PARTITION BY p.graph_id, p.layer ORDER BY coalesce(m.b, p.pos), p.pos) - 1 AS pos FROM pos p LEFT JOIN (SELECT graph_id, t AS node_id, list_sort(list(sp))[len(list(sp)) // 2 + 1] AS b FROM ends GROUP BY ALL) m USING (graph_id, node_id)", TRANSITION_SQL, _LAYERS, " ends AS (SELECT d.graph_id, a.pos AS sp, d.t FROM dag d JOIN pos a ON a.graph_id = d.graph_id AND a.node_id = d.s JOIN pos b ON b.graph_id = d.graph_id AND b.node_id = d.t WHERE b.layer = a.layer + 1)", recursive=True)
@@ -143,15 +133,16 @@ def median_step(spark: SparkSession, d: str) -> DataFrame:
     return at.join(mid, ["graph_id", "node_id"], "left").select("graph_id", "node_id", "layer", (F.row_number().over(w) - 1).cast("long").alias("pos"))
 
 
-@query("SELECT graph_id, 0 AS too_close FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def place_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """Middles of the nodes across the flow, 20 apart at least."""
     def rows(ids, _, es):
-        lay, size = K.longest_path(len(ids), es), [20.0 + 5 * (a % 5) for a in range(len(ids))]
-        order = K.layer_sweep(lay, es)
+        size = [20.0 + 5 * (a % 5) for a in range(len(ids))]
+        order = K.layer_sweep(K.longest_path(len(ids), es), es)
         y = L.aligned_placement(order, es, size, 20.0)
-        yield (sum(y[b] - y[a] < (size[a] + size[b]) / 2 + 20.0 - 1e-9 for r in order for a, b in zip(r, r[1:])),)
+        yield from ((ids[a], k, pos, size[a], float(y[a])) for k, row in enumerate(order) for pos, a in enumerate(row))
 
-    return per_graph(*_dag(spark, d), rows, "too_close int")
+    return per_graph(*_dag(spark, d), rows, "node_id string, layer int, pos int, height double, middle double")
 
 
 _TREE = " up AS (SELECT graph_id, node_id, node_id AS at, node_id AS path, parent_id, 0 AS depth FROM geo UNION ALL SELECT u.graph_id, u.node_id, g.node_id, g.node_id || '/' || u.path, g.parent_id, u.depth + 1 FROM up u JOIN geo g ON g.node_id = u.parent_id), leaf AS (SELECT node_id AS leaf, row_number() OVER (ORDER BY path) - 1 AS slot FROM up WHERE parent_id IS NULL AND node_id NOT IN (SELECT parent_id FROM geo WHERE parent_id IS NOT NULL)), span AS (SELECT u.at AS node_id, min(slot) AS low, max(slot) AS high FROM up u JOIN leaf ON leaf = u.node_id GROUP BY u.at), slots AS (SELECT u.graph_id, u.node_id, u.depth, (low + high) / 2 AS mid, (SELECT count(*) FROM leaf) AS leaves FROM up u JOIN span USING (node_id) WHERE u.parent_id IS NULL)"
@@ -167,13 +158,12 @@ def arrange_radial(spark: SparkSession, d: str) -> DataFrame:
     return arrangements.radial_arrangement(containment(spark, d))
 
 
-@query("SELECT graph_id, 0 AS bad FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def arrange_force(spark: SparkSession, d: str) -> DataFrame:
     def rows(ids, _, es):
-        a, b = arrangements.force_arrangement(len(ids), es), arrangements.force_arrangement(len(ids), es)
-        yield (int(not (abs(a) < 1e6).all() or (a != b).any()),)
+        yield from ((a, float(p[0]), float(p[1])) for a, p in zip(ids, arrangements.force_arrangement(len(ids), es), strict=True))
 
-    return per_graph(*transition_graphs(spark, d), rows, "bad int")
+    return per_graph(*transition_graphs(spark, d), rows, "node_id string, x double, y double")
 
 
 _C = " c AS (SELECT e.graph_id, e.edge_id, s.x + s.width / 2 AS sx, s.y + s.height / 2 AS sy, t.x + t.width / 2 AS tx, t.y + t.height / 2 AS ty FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.source_id JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.target_id WHERE e.source_id <> e.target_id)"
@@ -201,23 +191,17 @@ def constraints_align_pin(spark: SparkSession, d: str) -> DataFrame:
     return at.select("graph_id", "node_id", F.round(F.coalesce(F.max(F.when(F.col("ord") == 0, c)).over(by), F.avg(c).over(by)) - F.col("width") / 2, 6).alias("x"))
 
 
-@query("SELECT graph_id, count(*) AS routes, 0 AS bad FROM edges WHERE source_id <> target_id GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def route_orthogonal(spark: SparkSession, d: str) -> DataFrame:
-    """Routes around boxes that stand apart (a spread row of nodes): axis-parallel, and through no box."""
-    def rows(ids, _, es):
+    """Points of axis-parallel routes around the other nodes' boxes (nodes of a graph are spread first)."""
+    def rows(ids, names, es):
         boxes = [(a * 137.0, a * a * 61.0 % 197, 60.0, 40.0) for a in range(len(ids))]
-        routes = bad = 0
-        for s, t, _ in es:
-            if s == t:
-                continue
-            p = arrangements.orthogonal_route(boxes[s], boxes[t], [b for k, b in enumerate(boxes) if k not in (s, t)])
-            routes += 1
-            inside = any(min(a[0], b[0]) < x + w and max(a[0], b[0]) > x and min(a[1], b[1]) < y + h and max(a[1], b[1]) > y for a, b in zip(p, p[1:]) for x, y, w, h in boxes)
-            bad += inside or any(a[0] != b[0] and a[1] != b[1] for a, b in zip(p, p[1:]))
-        if routes:
-            yield (routes, int(bad))
-
-    return per_graph(*transition_graphs(spark, d), rows, "routes long, bad int")
+        for name, (s, t, _) in zip(names, es, strict=True):
+            if s != t:
+                points = arrangements.orthogonal_route(boxes[s], boxes[t], [b for k, b in enumerate(boxes) if k not in (s, t)])
+                yield from ((name, k, float(p[0]), float(p[1])) for k, p in enumerate(points))
+
+    return per_graph(*transition_graphs(spark, d), rows, "edge_id string, k int, x double, y double")
 
 
 @query("SELECT graph_id, edge_id, weight FROM edges", TRANSITION_SQL)

@@ -231,14 +231,13 @@ def invalid_graphs(spark: SparkSession, d: str) -> DataFrame:
     return registry.invalid_rows(n, e)
 
 
-@query("SELECT graph_id, count(*) AS n, 0 AS lost FROM nodes GROUP BY graph_id", TRANSITION_SQL)
+@query()
 def arrange_by_name(spark: SparkSession, d: str) -> DataFrame:
-    """Every registered algorithm for flat graphs places every node once, at finite coordinates."""
+    """Places of every node by every registered algorithm for flat graphs."""
     n, e = transition_graphs(spark, d)
     out = None
-    flat = [a for a in registry.algorithms() if a not in ("tree", "radial")]
-    for a in flat:
-        p = registry.arrange(n, e, a).select("graph_id", "node_id", (F.abs("x") + F.abs("y") < float("inf")).alias("ok"))
-        out = p if out is None else out.unionByName(p)
-    per = out.groupBy("graph_id", "node_id").agg((F.lit(len(flat)) - F.sum(F.col("ok").cast("int"))).alias("lost"))
-    return per.groupBy("graph_id").agg(F.count("*").alias("n"), F.sum("lost").cast("int").alias("lost"))
+    for a in registry.algorithms():
+        if a not in ("tree", "radial"):
+            p = registry.arrange(n, e, a).select(F.lit(a).alias("algorithm"), "graph_id", "node_id", "x", "y")
+            out = p if out is None else out.unionByName(p)
+    return out
