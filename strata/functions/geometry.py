@@ -92,6 +92,12 @@ def svg_path(points: Column) -> Column:
     return F.array_join(F.transform(points, lambda p, i: F.concat(F.when(i == 0, "M ").otherwise("L "), at(p))), " ")
 
 
+def section(name: Column, points: Column) -> Column:
+    """A route of one piece: struct<id, startPoint, bendPoints, endPoint>; ``to_json`` makes an authored section of it."""
+    bends = F.slice(points, 2, F.greatest(F.size(points) - 2, F.lit(0)))
+    return F.struct(F.concat(name, F.lit("_s0")).alias("id"), F.element_at(points, 1).alias("startPoint"), bends.alias("bendPoints"), F.element_at(points, -1).alias("endPoint"))
+
+
 def simplify(points: Column) -> Column:
     """Without repeated points and without middle points of straight, forward runs."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +133,102 @@ def place_simple(nodes: DataFrame, order: DataFrame, layer_gap: float = 20.0, no
     n = n.join(sizes, ["graph_id", "layer"])
     y = F.col("most") / 2 - F.col("lh") / 2 + F.coalesce(F.sum(F.col("height") + node_gap).over(above), F.lit(0.0)) + padding
     return n.select("graph_id", "node_id", "layer", (F.col("lx") + (F.col("lw") - F.col("width")) / 2).alias("x"), y.alias("y"), "width", "height")
+
+
+def order_by_place(nodes: DataFrame, layers: DataFrame, axis: str = "y") -> DataFrame:
+    """Position in the layer by authored place: middles along ``axis``, then authored order."""
+    size = {"x": "width", "y": "height"}[axis]
+    w = Window.partitionBy("graph_id", "layer").orderBy(F.col(axis) + F.col(size) / 2, "ord")
+    return layers.join(nodes.select("graph_id", "node_id", "ord", axis, size), ["graph_id", "node_id"]).select("graph_id", "node_id", "layer", (F.row_number().over(w) - 1).alias("pos"))
+
+
+def mirrored(order: DataFrame) -> DataFrame:
+    """Every layer the other way round."""
+    n = F.count("*").over(Window.partitionBy("graph_id", "layer"))
+    return order.select("graph_id", "node_id", "layer", (n - 1 - F.col("pos")).cast("long").alias("pos"))
+
+
+def label_dummies(edges: DataFrame, layers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The dummy of each long edge that holds its label (graph_id, edge_id, width, height): the one in the middle layer,
+    the earlier of two.  Edges between neighbouring layers have none."""
+    at = layers.select("graph_id", "node_id", "layer")
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "layer": "sl"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "layer": "tl"}), ["graph_id", "target_id"]).where("tl - sl > 1")
+    middle = F.expr("(sl + tl) div 2").cast("int")
+    return e.join(sizes, ["graph_id", "edge_id"]).select("graph_id", "edge_id", middle.alias("layer"), F.concat(F.lit("__dummy:"), "edge_id", F.lit(":"), middle.cast("string")).alias("dummy_id"), "width", "height")
+
+
+def merged_dummies(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    """One dummy a layer for all long edges of a source, the hyperedge they make: its members, and their first by order."""
+    at = layers.select("graph_id", "node_id", "layer")
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "layer": "sl"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "layer": "tl"}), ["graph_id", "target_id"]).where("tl - sl > 1")
+    passed = e.withColumn("layer", F.explode(F.sequence(F.col("sl") + 1, F.col("tl") - 1)))
+    return passed.withColumn("layer", F.col("layer").cast("int")).groupBy("graph_id", "source_id", "layer").agg(F.count("*").alias("members"), F.min(F.struct("ord", "edge_id"))["edge_id"].alias("first_edge"))
+
+
+def placed_ports(placed: DataFrame, edges: DataFrame, order: DataFrame) -> DataFrame:
+    """Ports of a layered drawing: edges leave on the east side and enter on the west, spread evenly over it in the order
+    of the nodes at their other ends (by position, then edge order).  Two rows an edge."""
+    at = order.select("graph_id", "node_id", F.col("layer").alias("l"), F.col("pos").alias("p"))
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "l": "sl", "p": "sp"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "l": "tl", "p": "tp"}), ["graph_id", "target_id"])
+    end = lambda node, side, layer, pos: F.struct(F.col(node).alias("node_id"), F.lit(side).alias("side"), F.col(layer).alias("far_layer"), F.col(pos).alias("far_pos"))
+    ports = e.select("graph_id", "edge_id", "ord", F.inline(F.array(end("source_id", "EAST", "tl", "tp"), end("target_id", "WEST", "sl", "sp"))))
+    side = Window.partitionBy("graph_id", "node_id", "side")
+    rank = F.row_number().over(side.orderBy("far_pos", "far_layer", "ord"))
+    ports = ports.withColumns({"index": rank - 1, "part": rank / (F.count("*").over(side) + 1)})
+    n = placed.select("graph_id", "node_id", "x", "y", "width", "height")
+    return ports.join(n, ["graph_id", "node_id"]).select("graph_id", "edge_id", "node_id", "side", "index", F.when(F.col("side") == "EAST", F.col("x") + F.col("width")).otherwise(F.col("x")).alias("x"), (F.col("y") + F.col("height") * F.col("part")).alias("y"))
+
+
+def _stretches(ports: DataFrame, order: DataFrame) -> DataFrame:
+    """Edges to the next layer with the places of both ports."""
+    at = order.select("graph_id", "node_id", "layer")
+    east = ports.where("side = 'EAST'").join(at, ["graph_id", "node_id"]).select("graph_id", "edge_id", "layer", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    west = ports.where("side = 'WEST'").join(at, ["graph_id", "node_id"]).select("graph_id", "edge_id", F.col("layer").alias("to_layer"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return east.join(west, ["graph_id", "edge_id"]).where("to_layer = layer + 1").drop("to_layer")
+
+
+def track_demand(ports: DataFrame, order: DataFrame) -> DataFrame:
+    """How many tracks the gap after a layer needs: the most vertical stretches, between the ports of edges to the next
+    layer, that share a height.  Straight edges need none; a stretch may end where another one of its track starts."""
+    spans = _stretches(ports, order).where("y1 <> y2")
+    ends = spans.select("graph_id", "layer", F.inline(F.array(F.struct(F.least("y1", "y2").alias("at"), F.lit(1).alias("step")), F.struct(F.greatest("y1", "y2").alias("at"), F.lit(-1).alias("step")))))
+    steps = ends.groupBy("graph_id", "layer", "at").agg(F.sum("step").alias("step"))
+    held = F.sum("step").over(Window.partitionBy("graph_id", "layer").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("held", held).groupBy("graph_id", "layer").agg(F.max("held").alias("tracks"))
+
+
+def track_routes(ports: DataFrame, order: DataFrame) -> DataFrame:
+    """Routes (graph_id, edge_id, track, points) of edges to the next layer: out of the port, along a track of the gap,
+    into the other port.  Tracks of a gap are evenly spread between the widest node before and the first one after it; a
+    gap is one group of a task."""
+    s = _stretches(ports, order)
+    gap = Window.partitionBy("graph_id", "layer")
+    s = s.withColumns({"left": F.max("x1").over(gap), "right": F.min("x2").over(gap)})
+    schema = "graph_id string, edge_id string, layer int, x1 double, y1 double, x2 double, y2 double, left double, right double, track int, tracks int"
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("edge_id")
+        rows["track"] = tracks(list(zip(rows["y1"], rows["y2"], strict=True)))
+        rows["tracks"] = rows["track"].max() + 1
+        return rows[[c.split()[0] for c in schema.split(", ")]]
+
+    dealt = s.groupBy("graph_id", "layer").applyInPandas(kernel, schema)
+    x = F.col("left") + (F.col("right") - F.col("left")) * (F.col("track") + 1) / (F.col("tracks") + 1)
+    point = lambda a, b: F.struct(F.col(a).alias("x") if isinstance(a, str) else a.alias("x"), F.col(b).alias("y"))
+    bent = F.array(point("x1", "y1"), point(x, "y1"), point(x, "y2"), point("x2", "y2"))
+    return dealt.select("graph_id", "edge_id", "track", F.when(F.col("track") < 0, F.array(point("x1", "y1"), point("x2", "y2"))).otherwise(bent).alias("points"))
+
+
+def tracks(spans: list[tuple[float, float]]) -> list[int]:
+    """A track for each vertical stretch, none shared by two that overlap: from the top, the free one with the least
+    number.  It takes as few as ``track_demand`` tells; a stretch of no length has track -1."""
+    free, busy, out, used = [], [], [-1] * len(spans), 0
+    for low, high, k in sorted((min(s), max(s), k) for k, s in enumerate(spans) if s[0] != s[1]):
+        while busy and busy[0][0] <= low:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        if free:
+            out[k] = heapq.heappop(free)
+        else:
+            out[k], used = used, used + 1
+        heapq.heappush(busy, (high, out[k]))
+    return out

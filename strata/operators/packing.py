@@ -77,7 +77,7 @@ def normalised(nodes: DataFrame, padding: float = 12.0) -> DataFrame:
 LCG_MUL, LCG_ADD, LCG_MOD = 25214903917, 11, 1 << 48
 
 
-def lcg_doubles(n: int, seed: Column) -> Column:
+def lcg_doubles(n: int | Column, seed: Column) -> Column:
     """The first n doubles in [0, 1) of the 48-bit linear congruential generator that Java specifies."""
     mod = F.lit(LCG_MOD).cast("decimal(38,0)")
     step = lambda s: ((s * F.lit(LCG_MUL).cast("decimal(12,0)") + LCG_ADD) % mod).cast("decimal(16,0)")
@@ -91,4 +91,17 @@ def lcg_doubles(n: int, seed: Column) -> Column:
         d = (high * (1 << 27) + low).cast("double") * (1.0 / (1 << 53))
         return F.struct(d.alias("d"), two.alias("s"), F.concat(a["out"], F.array(d)).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, draw, lambda a: a["out"])
+    return F.aggregate(F.sequence(F.lit(1), (F.lit(n) if isinstance(n, int) else n).cast("int")), start, draw, lambda a: a["out"])
+
+
+def random_places(nodes: DataFrame, edges: DataFrame, seed: Column, spacing: float = 15.0, aspect: float = 1.6, padding: float = 12.0) -> DataFrame:
+    """Places from the generator of ``lcg_doubles``, two draws a node in authored order, in a drawing whose area is that
+    of all nodes and a square of twice the spacing's for each node and edge; one row of draws is one graph."""
+    area = nodes.groupBy("graph_id").agg(F.sum(F.col("width") * F.col("height")).alias("area"), F.count("*").alias("n"), F.max("width").alias("widest"), F.max("height").alias("highest"))
+    area = area.join(edges.groupBy("graph_id").agg(F.count("*").alias("e")), "graph_id", "left")
+    root = F.sqrt(F.col("area") + 2 * spacing * spacing * (1 + F.coalesce("e", F.lit(0))) * F.col("n"))
+    size = area.select("graph_id", F.greatest(root * aspect, F.col("widest")).alias("w"), F.greatest(root / aspect, F.col("highest")).alias("h"), lcg_doubles(F.col("n") * 2, seed).alias("draws"))
+    k = F.row_number().over(_in_order()) - 1
+    n = nodes.withColumn("k", k).join(size, "graph_id")
+    draw = lambda i: F.element_at("draws", (F.col("k") * 2 + i).cast("int"))
+    return n.select("graph_id", "node_id", (padding + draw(1) * (F.col("w") - F.col("width"))).alias("x"), (padding + draw(2) * (F.col("h") - F.col("height"))).alias("y"), "width", "height")

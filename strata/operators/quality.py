@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -46,7 +46,7 @@ def grid_join(a: DataFrame, b: DataFrame, test: Column, size: float = 128.0) ->
 
     def dealt(df: DataFrame, s: str) -> DataFrame:
         at = df.join(levels.withColumnRenamed("level", "l"), "graph_id").where(f"l >= level{s}")
-        return at.select("*", F.explode(_cells(*[F.col(c + s) for c in corners], side)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+        return at.select("*", F.explode(_cells(*[F.col(c + s) for c in corners], side)).alias("__cell")).select("*", "__cell.cx", "__cell.cy").drop("__cell")
 
     home = (F.col("l") == F.greatest("level", "level_b")) & (F.floor(F.greatest("x1", "x1_b") / side) == F.col("cx")) & (F.floor(F.greatest("y1", "y1_b") / side) == F.col("cy"))
     return dealt(a, "").join(dealt(b, "_b"), ["graph_id", "l", "cx", "cy"]).where(home & test).drop("l", "cx", "cy", "level", "level_b")
@@ -81,6 +81,18 @@ def route_crossings(routes: DataFrame) -> DataFrame:
     return met.distinct().groupBy("graph_id").agg(F.count("*").alias("crossings"))
 
 
+def crossings_off_terminals(routes: DataFrame, edges: DataFrame, nodes: DataFrame, margin: float = 12.0) -> DataFrame:
+    """Crossings as ``route_crossings`` counts them, but for points nearer than ``margin`` to a node at which both
+    routes end: there lines have to meet."""
+    s = route_segments(routes).join(edges.select("graph_id", "edge_id", F.array("source_id", "target_id").alias("ends")), ["graph_id", "edge_id"])
+    h, v = s.where("y1 = y2 and x2 > x1"), _suffixed(s.where("x1 = x2 and y2 > y1"))
+    test = F.expr(f"edge_id <> edge_id_b and x1_b > x1 + {EPS} and x1_b < x2 - {EPS} and y1 > y1_b + {EPS} and y1 < y2_b - {EPS}")
+    met = grid_join(h, v, test).select("graph_id", F.least("edge_id", "edge_id_b").alias("a"), F.greatest("edge_id", "edge_id_b").alias("b"), F.round("x1_b", 6).alias("x"), F.round("y1", 6).alias("y"), F.array_intersect("ends", "ends_b").alias("shared")).distinct()
+    near = met.select("*", F.explode("shared").alias("node_id")).join(boxes(nodes), ["graph_id", "node_id"]).where(f"x >= x1 - {margin} and x <= x2 + {margin} and y >= y1 - {margin} and y <= y2 + {margin}")
+    off = met.join(near.select("graph_id", "a", "b", "x", "y"), ["graph_id", "a", "b", "x", "y"], "left_anti")
+    return off.groupBy("graph_id").agg(F.count("*").alias("crossings"))
+
+
 def elbow_routes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Horizontal-vertical-horizontal routes from centre to centre."""
     at = nodes.select("graph_id", "node_id", (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy"))

@@ -54,6 +54,45 @@ edges AS (SELECT CAST(user_id AS VARCHAR) AS graph_id, s || '>' || t AS edge_id,
   FROM (SELECT user_id, s, t, count(*) AS weight FROM steps WHERE t IS NOT NULL GROUP BY ALL))"""
 
 
+def trade_graphs(spark: SparkSession, sf_dir: str, most_targets: int = 3) -> tuple[DataFrame, DataFrame]:
+    """One graph of the trading nations a year: from each nation to the ``most_targets`` others whose suppliers sold it most lines."""
+    o, l, c, s, n = (_read(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "supplier", "nation"))
+    lines = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = lines.groupBy(F.year("o_orderdate").alias("y"), F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.count("*").alias("weight")).where("a <> b")
+    top = F.row_number().over(Window.partitionBy("y", "a").orderBy(F.desc("weight"), "b"))
+    kept = lines.withColumn("k", top).where(F.col("k") <= most_targets)
+    name = lambda k: F.lpad(k.cast("string"), 2, "0")
+    ends = kept.select("y", F.explode(F.array("a", "b")).alias("n_nationkey")).distinct()
+    nodes = ends.join(F.broadcast(n.select("n_nationkey", "n_name")), "n_nationkey").select(
+        F.col("y").cast("string").alias("graph_id"),
+        name(F.col("n_nationkey")).alias("node_id"),
+        F.lit(None).cast("string").alias("parent_id"),
+        F.col("n_nationkey").cast("int").alias("ord"),
+        (F.col("n_nationkey") * 71 % 500).cast("double").alias("x"),
+        (F.col("n_nationkey") * 43 % 300).cast("double").alias("y"),
+        (30 + 10 * (F.length("n_name") % 6)).cast("double").alias("width"),
+        (20 + 5 * (F.col("n_nationkey") % 4)).cast("double").alias("height"),
+    )
+    edges = kept.select(
+        F.col("y").cast("string").alias("graph_id"),
+        F.concat(name(F.col("a")), F.lit(">"), name(F.col("b"))).alias("edge_id"),
+        name(F.col("a")).alias("source_id"),
+        name(F.col("b")).alias("target_id"),
+        (F.row_number().over(Window.partitionBy("y").orderBy("a", "b")) - 1).alias("ord"),
+        "weight",
+    )
+    return nodes, edges
+
+
+TRADE_SQL = """
+kept AS (SELECT * FROM (SELECT y, a, b, weight, row_number() OVER (PARTITION BY y, a ORDER BY weight DESC, b) AS k
+  FROM (SELECT year(o_orderdate) AS y, c_nationkey AS a, s_nationkey AS b, count(*) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL)) WHERE k <= 3),
+nodes AS (SELECT CAST(y AS VARCHAR) AS graph_id, lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS node_id, n_nationkey AS ord, CAST(n_nationkey * 71 % 500 AS DOUBLE) AS x, CAST(n_nationkey * 43 % 300 AS DOUBLE) AS y,
+    CAST(30 + 10 * (length(n_name) % 6) AS DOUBLE) AS width, CAST(20 + 5 * (n_nationkey % 4) AS DOUBLE) AS height FROM (SELECT y, a AS n FROM kept UNION SELECT y, b FROM kept) JOIN nation ON n = n_nationkey),
+edges AS (SELECT CAST(y AS VARCHAR) AS graph_id, lpad(CAST(a AS VARCHAR), 2, '0') || '>' || lpad(CAST(b AS VARCHAR), 2, '0') AS edge_id, lpad(CAST(a AS VARCHAR), 2, '0') AS source_id, lpad(CAST(b AS VARCHAR), 2, '0') AS target_id,
+    row_number() OVER (PARTITION BY y ORDER BY a, b) - 1 AS ord, weight FROM kept)"""
+
+
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One containment tree: regions hold nations, nations hold customers and suppliers; parent-relative places."""
     def level(df: DataFrame, mark: str, key: str, up: str | None, parent: str | None, x, y) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from strata.plans import catalog, catalog_more, catalog_routes, registry  # noqa: F401
+from strata.plans import catalog, catalog_drawings, catalog_more, catalog_routes, registry  # noqa: F401
 from strata.sources.graphs import transition_graphs
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +115,33 @@ def test_registration_is_undone(spark):
     assert registry.arrange(n, e, lambda n, e: n.limit(0)).count() == 0
     with pytest.raises(ValueError):
         registry.arrange(n, e, "own")
+
+
+def test_tracks_are_as_few_as_needed_and_never_shared(spark):
+    need = {(r.graph_id, r.layer): r.tracks for r in catalog.QUERIES["trade_tracks"](spark, SF).collect()}
+    at = {(r.graph_id, r.node_id): r.layer for r in catalog.QUERIES["trade_layers"](spark, SF).collect()}
+    east = {(r.graph_id, r.edge_id): at[r.graph_id, r.node_id] for r in catalog.QUERIES["trade_ports"](spark, SF).where("side = 'EAST'").collect()}
+    routes = defaultdict(list)
+    for r in catalog.QUERIES["trade_routes"](spark, SF).collect():
+        routes[r.graph_id, r.edge_id, r.track].append((r.k, r.x, r.y))
+    gaps = defaultdict(list)
+    for (g, e, track), points in routes.items():
+        p = [(x, y) for _, x, y in sorted(points)]
+        assert all(a[0] == b[0] or a[1] == b[1] for a, b in zip(p, p[1:], strict=False)) and p[0][0] < p[-1][0]
+        if track >= 0:
+            assert len(p) == 4 and p[0][0] < p[1][0] < p[3][0]
+            gaps[g, east[g, e]].append((track, min(p[1][1], p[2][1]), max(p[1][1], p[2][1])))
+    assert {k: max(t for t, _, _ in v) + 1 for k, v in gaps.items()} == need
+    for spans in gaps.values():
+        for i, (t, lo, hi) in enumerate(spans):
+            assert not any(t == u and lo < b and a < hi for u, a, b in spans[:i])
+
+
+def test_one_huge_box_makes_few_rows(spark):
+    from strata.operators import quality
+
+    rows = [("g", f"n{i}", float(i % 50 * 30), float(i // 50 * 30), 20.0, 20.0) for i in range(1000)] + [("g", "all", -1e6, -1e6, 2e6, 2e6), ("g", "wide", -1e5, 10.0, 2e5, 1.0)]
+    n = spark.createDataFrame(rows, "graph_id string, node_id string, x double, y double, width double, height double")
+    got = {(r.node_id, r.other_id) for r in quality.node_overlaps(n).collect()}
+    over = lambda a, b: a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5]
+    assert got == {tuple(sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if over(a, b)}
