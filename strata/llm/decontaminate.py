@@ -82,7 +82,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 ["shard", "ids", "checks", "lengths", "terms", "counts", "places"],
             )
 
-    with bounded_batches(docs.sparkSession):
+    with bounded_batches(docs.sparkSession, 250):
         return cut(docs.select("id", "check", "t").mapInArrow(kernel, f"shard long, ids array<{id_type}>, checks array<long>, lengths binary, terms binary, counts binary, places binary"), "index")
 
 
@@ -308,7 +308,7 @@ def _search(index: DataFrame, block: TestBlock, slack: int | None) -> DataFrame:
 
     id_type = index.schema["ids"].dataType.elementType.simpleString()
     schema = f"shard long, n int, id {id_type}, check long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, near array<struct<item:string,place:int,start:int>>"
-    with bounded_batches(index.sparkSession, 16):
+    with bounded_batches(index.sparkSession, 4):
         out = cut(index.mapInArrow(kernel, schema), "matches")
     shared.destroy()
     return out
