@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import shutil
 import tempfile
 import uuid
@@ -146,22 +147,31 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A random number a byte: upper case has the one of lower case, what parts words has none.
-_BYTE = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)[list(LOWER)] * ~_SPACE
+_RANDOM_BYTE = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
 _POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def word_hashes(column: pa.Array, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words (as ``words_of`` gives them) of all texts of an Arrow column, and how many
-    each text has; null counts as empty.  A hash is a polynomial in the word's bytes, mixed; ``step`` bounds memory."""
+@functools.lru_cache
+def _byte_values(table: bytes) -> np.ndarray:
+    """A random number for each byte as ``table`` translates it; 0 for what parts words then."""
+    parts = np.zeros(256, bool)
+    parts[[0x20, *range(0x09, 0x0E)]] = True
+    return _RANDOM_BYTE[list(table)] * ~parts[list(table)]
+
+
+def word_hashes(column: pa.Array, table: bytes = LOWER, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts of an Arrow column, and how many each text has; null counts as empty.
+
+    Words are those of ``text.translate(table).split()``.  A hash is a polynomial in the word's bytes, mixed; ``step``
+    bounds memory.
+    """
     column = column.fill_null("").cast(pa.large_binary())
     _, offsets, data = column.buffers()
     edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data or b"", np.uint8)[edges[0] : edges[-1]] if len(column) else np.zeros(0, np.uint8)
     edges = edges - edges[0] if len(column) else np.zeros(1, np.int64)
-    solid = ~_SPACE[data]
+    values_of = _byte_values(table)
+    solid = (values_of != 0)[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inside = edges[:-1][edges[:-1] < len(data)]
@@ -175,7 +185,7 @@ def word_hashes(column: pa.Array, step: int = 1 << 20) -> tuple[np.ndarray, np.n
         lengths = ends[i:k] - starts[i:k]
         powers = np.cumprod(np.full(int(lengths.max()), _POWER))
         at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        values = _BYTE[data[starts[i] : ends[k - 1]]] * powers[at]
+        values = values_of[data[starts[i] : ends[k - 1]]] * powers[at]
         out[i:k] = np.add.reduceat(values, starts[i:k] - starts[i])
         i = k
     return mix64(out), np.diff(np.searchsorted(starts, edges))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, cut, drop_cut, table, text_check, texts_of, without
+from .common import bounded_batches, cut, drop_cut, table, text_check, without, word_hashes
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space, so that split() gives the
 #: words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
@@ -54,14 +54,11 @@ def build_index(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(5)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = [split_words(t) for t in texts_of(batch.column(2))]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            token = np.concatenate([hashes.of(w, len(w)) for w in words])
-            place = np.arange(len(token)) + np.repeat(np.arange(len(words)) * _GAP, lengths)
+            token, lengths = word_hashes(batch.column(2), WORD_BYTES)
+            place = np.arange(len(token)) + np.repeat(np.arange(len(lengths)) * _GAP, lengths)
             order = np.argsort(token, kind="stable")
             token, place = token[order], place[order]
             first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
@@ -103,10 +100,8 @@ class TestBlock:
 
     @classmethod
     def of(cls, items: list[tuple[str, list[bytes]]], window: int) -> TestBlock:
-        hashes = WordHashes(5)
-        tokens = [hashes.of(ws, len(ws)) for _, ws in items]
-        terms, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_inverse=True)
-        lengths = np.array([len(t) for t in tokens], np.int64)
+        tokens, lengths = word_hashes(pa.array([b" ".join(ws) for _, ws in items], pa.binary()), WORD_BYTES)
+        terms, flat = np.unique(tokens, return_inverse=True)
         windows = np.maximum(1, lengths - window + 1)
         item = np.repeat(np.arange(len(items)), windows)
         inside = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
