@@ -65,6 +65,27 @@ def point_at(points: Column, distance: Column) -> Column:
     return F.aggregate(segments(points), first, walk, lambda s: s["p"])
 
 
+def trimmed(points: Column, start: Column, end: Column) -> Column:
+    """The part of a path from ``start`` along it to ``end`` before its end; one point where nothing is left."""
+    n = path_length(points)
+    a, b = F.least(start, n), F.greatest(F.least(start, n), n - end)
+    first = F.struct(F.lit(0.0).alias("far"), F.array().cast("array<struct<x:double,y:double>>").alias("kept"))
+
+    def walk(state: Column, s: Column) -> Column:
+        far = state["far"] + length(s)
+        return F.struct(far.alias("far"), F.when((far > a) & (far < b), F.concat(state["kept"], F.array(s["b"]))).otherwise(state["kept"]).alias("kept"))
+
+    inside = F.aggregate(segments(points), first, walk, lambda s: s["kept"])
+    ends = F.when(b > a, F.array(point_at(points, b))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    return F.concat(F.array(point_at(points, a)), inside, ends)
+
+
+def split(points: Column, at: Column) -> Column:
+    """struct<before, after>: both parts of a path that is cut ``at`` so far along it."""
+    n = path_length(points)
+    return F.struct(trimmed(points, F.lit(0.0), n - at).alias("before"), trimmed(points, at, F.lit(0.0)).alias("after"))
+
+
 def midpoint(points: Column) -> Column:
     return point_at(points, path_length(points) / 2)
 

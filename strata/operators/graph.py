@@ -148,6 +148,37 @@ def mirrored(order: DataFrame) -> DataFrame:
     return order.select("graph_id", "node_id", "layer", (n - 1 - F.col("pos")).cast("long").alias("pos"))
 
 
+def partition_orientation(edges: DataFrame, partitions: DataFrame) -> DataFrame:
+    """Edges run from lower to higher partitions (graph_id, node_id, partition)."""
+    at = partitions.select("graph_id", "node_id", "partition")
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "partition": "sp"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "partition": "tp"}), ["graph_id", "target_id"])
+    return e.select("graph_id", "edge_id", (F.col("sp") > F.col("tp")).alias("reversed"))
+
+
+def constrained_layers(layers: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Layers under constraints (graph_id, node_id, kind): FIRST and LAST nodes go to the outer layers, FIRST_SEPARATE and
+    LAST_SEPARATE ones to layers of their own beyond them; layers that this empties go."""
+    by = Window.partitionBy("graph_id")
+    n = layers.join(constraints.select("graph_id", "node_id", "kind"), ["graph_id", "node_id"], "left")
+    first, last, kind = F.min("layer").over(by), F.max("layer").over(by), F.col("kind")
+    to = F.when(kind == "FIRST_SEPARATE", first - 1).when(kind == "FIRST", first).when(kind == "LAST", last).when(kind == "LAST_SEPARATE", last + 1).otherwise(F.col("layer"))
+    return n.select("graph_id", "node_id", to.alias("l")).select("graph_id", "node_id", (F.dense_rank().over(by.orderBy("l")) - 1).cast("int").alias("layer"))
+
+
+def resolved_gaps(edges: DataFrame, own: DataFrame, default: float) -> DataFrame:
+    """The gap of an edge's nodes: the larger of their own values (graph_id, node_id, gap), the default for one without."""
+    own = own.select("graph_id", "node_id", "gap")
+    e = edges.join(own.withColumnsRenamed({"node_id": "source_id", "gap": "a"}), ["graph_id", "source_id"], "left").join(own.withColumnsRenamed({"node_id": "target_id", "gap": "b"}), ["graph_id", "target_id"], "left")
+    return e.select("graph_id", "edge_id", F.greatest(F.coalesce("a", F.lit(default)), F.coalesce("b", F.lit(default))).alias("gap"))
+
+
+def wrapped(layers: DataFrame, per_row: int) -> DataFrame:
+    """Long sequences of layers continue on a new row after every ``per_row`` layers."""
+    if per_row < 1:
+        raise ValueError("per_row must be 1 or more")
+    return layers.select("graph_id", "node_id", F.expr(f"cast(layer div {per_row} as int)").alias("row"), F.expr(f"cast(layer % {per_row} as int)").alias("layer"))
+
+
 def label_dummies(edges: DataFrame, layers: DataFrame, sizes: DataFrame) -> DataFrame:
     """The dummy of each long edge that holds its label (graph_id, edge_id, width, height): the one in the middle layer,
     the earlier of two.  Edges between neighbouring layers have none."""

@@ -81,6 +81,22 @@ def route_crossings(routes: DataFrame) -> DataFrame:
     return met.distinct().groupBy("graph_id").agg(F.count("*").alias("crossings"))
 
 
+def self_retraces(routes: DataFrame) -> DataFrame:
+    """Length that a route's axis-parallel segments run over other segments of the same route, per route that does."""
+    s = route_segments(routes).where(f"x2 - x1 > {EPS} or y2 - y1 > {EPS}")
+    flat, tall = "y1 = y2 and y1_b = y2_b and y1 = y1_b", "x1 = x2 and x1_b = x2_b and x1 = x1_b"
+    met = grid_join(s, _suffixed(s), F.expr(f"edge_id = edge_id_b and k < k_b and (({flat}) or ({tall}))"))
+    over = F.when(F.expr(flat), F.least("x2", "x2_b") - F.greatest("x1", "x1_b")).otherwise(F.least("y2", "y2_b") - F.greatest("y1", "y1_b"))
+    return met.select("graph_id", "edge_id", over.alias("n")).where(f"n > {EPS}").groupBy("graph_id", "edge_id").agg(F.sum("n").alias("retraced"))
+
+
+def unions(nodes: DataFrame, others: DataFrame) -> DataFrame:
+    """The least box around each node and the boxes (graph_id, node_id, x1, x2, y1, y2) that belong to it."""
+    every = boxes(nodes).unionByName(others.select("graph_id", "node_id", "x1", "x2", "y1", "y2"))
+    b = every.groupBy("graph_id", "node_id").agg(F.min("x1").alias("x"), F.min("y1").alias("y"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
+    return b.select("graph_id", "node_id", "x", "y", (F.col("x2") - F.col("x")).alias("width"), (F.col("y2") - F.col("y")).alias("height"))
+
+
 def crossings_off_terminals(routes: DataFrame, edges: DataFrame, nodes: DataFrame, margin: float = 12.0) -> DataFrame:
     """Crossings as ``route_crossings`` counts them, but for points nearer than ``margin`` to a node at which both
     routes end: there lines have to meet."""

@@ -293,13 +293,11 @@ def arrange_stress(spark: SparkSession, d: str) -> DataFrame:
     return per_graph(*transition_graphs(spark, d), rows, "node_id string, x double, y double")
 
 
-@query()
-def java_lcg_doubles(spark: SparkSession, d: str) -> DataFrame:
-    n = transition_graphs(spark, d)[0].select("graph_id").distinct()
-    return n.select("graph_id", P.lcg_doubles(4, F.col("graph_id").cast("long")).alias("draws"))
+_NUM = "regexp_replace(regexp_replace(CAST(CAST({0} AS DECIMAL(30, 6)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+_AT = lambda x, y: _NUM.format(x) + " || ' ' || " + _NUM.format(y)
 
 
-@query()
+@query(f"SELECT graph_id, edge_id, 'M ' || {_AT('sx', 'sy')} || CASE WHEN sx <> tx AND sy <> ty THEN ' L ' || {_AT('(sx + tx) / 2', 'sy')} || ' L ' || {_AT('(sx + tx) / 2', 'ty')} ELSE '' END || CASE WHEN sx <> tx OR sy <> ty THEN ' L ' || {_AT('tx', 'ty')} ELSE '' END AS path FROM seg0", TRANSITION_SQL, _ELBOW)
 def svg_path_lines(spark: SparkSession, d: str) -> DataFrame:
     r = quality.elbow_routes(*transition_graphs(spark, d))
     return r.select("graph_id", "edge_id", g.svg_path(g.simplify(F.col("points"))).alias("path"))

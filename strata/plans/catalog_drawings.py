@@ -186,6 +186,34 @@ def route_points(spark: SparkSession, d: str) -> DataFrame:
     return r.select("graph_id", "edge_id", F.col("k").cast("long").alias("k"), "p.x", "p.y")
 
 
+def _along(s: str) -> str:
+    """Where an elbow of ``seg0`` is after the way ``s``, as SQL for x and y."""
+    a, b = "abs(tx - sx) / 2", "abs(ty - sy)"
+    x = f"CASE WHEN {s} <= {a} THEN sx + sign(tx - sx) * {s} WHEN {s} <= {a} + {b} THEN (sx + tx) / 2 ELSE (sx + tx) / 2 + sign(tx - sx) * ({s} - {a} - {b}) END"
+    y = f"CASE WHEN {s} <= {a} THEN sy WHEN {s} <= {a} + {b} THEN sy + sign(ty - sy) * ({s} - {a}) ELSE ty END"
+    return f"round({x}, 6) + 0.0 AS {{0}}_x, round({y}, 6) + 0.0 AS {{0}}_y"
+
+
+_LONG = "(abs(tx - sx) + abs(ty - sy))"
+_FROM, _UPTO = f"least(15.0, {_LONG})", f"greatest(least(15.0, {_LONG}), {_LONG} - 10.0)"
+
+
+@query(f"SELECT graph_id, edge_id, {_along(_FROM).format('start')}, {_along(_UPTO).format('end')}, round({_UPTO} - {_FROM}, 6) + 0.0 AS length FROM seg0", TRANSITION_SQL, _ELBOW)
+def route_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """Routes without their first 15 and last 10."""
+    r = quality.elbow_routes(*transition_graphs(spark, d)).select("graph_id", "edge_id", g.trimmed(F.col("points"), F.lit(15.0), F.lit(10.0)).alias("p"))
+    at = lambda i, c, n: (F.round(F.element_at("p", i)[c], 6) + 0.0).alias(f"{n}_{c}")
+    return r.select("graph_id", "edge_id", at(1, "x", "start"), at(1, "y", "start"), at(-1, "x", "end"), at(-1, "y", "end"), (F.round(g.path_length(F.col("p")), 6) + 0.0).alias("length"))
+
+
+@query(f"SELECT graph_id, edge_id, round({_LONG} / 3, 6) + 0.0 AS before_length, round({_LONG} - {_LONG} / 3, 6) + 0.0 AS after_length, {_along(f'({_LONG} / 3)').format('cut')} FROM seg0", TRANSITION_SQL, _ELBOW)
+def route_split(spark: SparkSession, d: str) -> DataFrame:
+    """Routes cut after a third."""
+    r = quality.elbow_routes(*transition_graphs(spark, d)).select("graph_id", "edge_id", g.split(F.col("points"), g.path_length(F.col("points")) / 3).alias("s"))
+    cut = F.element_at("s.before", -1)
+    return r.select("graph_id", "edge_id", (F.round(g.path_length(F.col("s.before")), 6) + 0.0).alias("before_length"), (F.round(g.path_length(F.col("s.after")), 6) + 0.0).alias("after_length"), (F.round(cut["x"], 6) + 0.0).alias("cut_x"), (F.round(cut["y"], 6) + 0.0).alias("cut_y"))
+
+
 @query("SELECT graph_id, edge_id, edge_id || '_s0' AS section_id, sx AS start_x, sy AS start_y, CASE WHEN sx <> tx AND sy <> ty THEN 2 ELSE 0 END AS n_bends, tx AS end_x, ty AS end_y FROM seg0", TRANSITION_SQL, _ELBOW)
 def route_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of routes: start, bends, end."""
@@ -251,3 +279,34 @@ def arrange_random(spark: SparkSession, d: str) -> DataFrame:
     n, e = transition_graphs(spark, d)
     out = packing.random_places(n, e, F.col("graph_id").cast("long"))
     return out.select("graph_id", "node_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "width", "height")
+
+
+@query("SELECT graph_id, edge_id, round(abs(tx - sx) / 2, 6) AS retraced FROM seg0 WHERE abs(tx - sx) / 2 > 1e-6 AND sy <> ty UNION ALL SELECT graph_id, edge_id, round(abs(tx - sx) / 2, 6) FROM seg0 WHERE abs(tx - sx) / 2 > 1e-6 AND sy = ty", TRANSITION_SQL, _ELBOW)
+def self_retraces(spark: SparkSession, d: str) -> DataFrame:
+    """Routes that go back over their last segment."""
+    r = quality.elbow_routes(*transition_graphs(spark, d))
+    back = r.select("graph_id", "edge_id", F.concat("points", F.array(F.element_at("points", 3))).alias("points"))
+    return quality.self_retraces(back).withColumn("retraced", F.round("retraced", 6))
+
+
+@query("SELECT graph_id, node_id, least(x, x + width / 2 - 4.0 * length(node_id)) AS x, y, greatest(x + width, x + width / 2 + 4.0 * length(node_id)) - least(x, x + width / 2 - 4.0 * length(node_id)) AS width, height + 12.0 AS height FROM nodes", TRANSITION_SQL)
+def node_and_label_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with a label below them."""
+    n = transition_graphs(spark, d)[0]
+    half = F.length("node_id") * 4.0
+    label = n.select("graph_id", "node_id", (F.expr("x + width / 2") - half).alias("x1"), (F.expr("x + width / 2") + half).alias("x2"), F.expr("y + height").alias("y1"), F.expr("y + height + 12.0").alias("y2"))
+    return quality.unions(n, label)
+
+
+@query("SELECT graph_id, node_id, floor(width / 3 * 64 + 0.5) / 64 AS width, floor(height / 7 * 64 + 0.5) / 64 AS height FROM nodes", TRANSITION_SQL)
+def snapped_sizes(spark: SparkSession, d: str) -> DataFrame:
+    n = transition_graphs(spark, d)[0]
+    return n.select("graph_id", "node_id", g.snap(F.col("width") / 3).alias("width"), g.snap(F.col("height") / 7).alias("height"))
+
+
+@query("SELECT graph_id, node_id, CASE WHEN ord % 2 = 0 THEN ord + 0.5 ELSE ord END AS top, CASE WHEN ord % 2 = 0 THEN ord + 0.5 ELSE 0 END AS \"right\", CASE WHEN ord % 2 = 0 THEN ord + 0.5 ELSE 0 END AS bottom, CASE WHEN ord % 2 = 0 THEN ord + 0.5 ELSE 2 * ord END AS \"left\" FROM nodes", TRANSITION_SQL)
+def parsed_paddings(spark: SparkSession, d: str) -> DataFrame:
+    """Paddings written as one number or by side."""
+    n = transition_graphs(spark, d)[0]
+    text = F.when(F.col("ord") % 2 == 0, F.concat(F.col("ord").cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit("[top="), F.col("ord").cast("string"), F.lit(", left = "), (F.col("ord") * 2).cast("string"), F.lit("]")))
+    return n.select("graph_id", "node_id", g.parse_padding(text).alias("p")).select("graph_id", "node_id", "p.top", "p.right", "p.bottom", "p.left")

@@ -67,19 +67,16 @@ _acyclic("cycle_components", L.scc_orientation)
 
 @query("SELECT e.graph_id, e.edge_id, s.ord % 2 > t.ord % 2 AS reversed FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.source_id JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.target_id", TRANSITION_SQL)
 def partition_orientation(spark: SparkSession, d: str) -> DataFrame:
-    """Edges run from lower to higher partitions (here: the parity of the authored order)."""
+    """Partitions here: the parity of the authored order."""
     n, e = transition_graphs(spark, d)
-    at = n.select("graph_id", "node_id", (F.col("ord") % 2).alias("p"))
-    e = e.join(at.withColumnsRenamed({"node_id": "source_id", "p": "sp"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "p": "tp"}), ["graph_id", "target_id"])
-    return e.select("graph_id", "edge_id", (F.col("sp") > F.col("tp")).alias("reversed"))
+    return G.partition_orientation(e, n.withColumn("partition", F.col("ord") % 2))
 
 
-@query("SELECT graph_id, node_id, CAST(dense_rank() OVER (PARTITION BY graph_id ORDER BY l) - 1 AS INTEGER) AS layer FROM (SELECT graph_id, node_id, CASE node_id WHEN 'signup' THEN -1 WHEN 'error' THEN 1 + max(layer) OVER (PARTITION BY graph_id) ELSE layer END AS l FROM lay)", TRANSITION_SQL, _LAYERS, recursive=True)
+@query("SELECT graph_id, node_id, CAST(dense_rank() OVER (PARTITION BY graph_id ORDER BY l) - 1 AS INTEGER) AS layer FROM (SELECT graph_id, node_id, CASE node_id WHEN 'signup' THEN -1 WHEN 'click' THEN 0 WHEN 'view' THEN max(layer) OVER (PARTITION BY graph_id) WHEN 'error' THEN 1 + max(layer) OVER (PARTITION BY graph_id) ELSE layer END AS l FROM lay)", TRANSITION_SQL, _LAYERS, recursive=True)
 def layer_constraints(spark: SparkSession, d: str) -> DataFrame:
-    """FIRST_SEPARATE and LAST_SEPARATE nodes get layers of their own at the ends; empty layers go."""
-    lay, by = _layers(*_dag(spark, d)), Window.partitionBy("graph_id")
-    to = F.when(F.col("node_id") == "signup", -1).when(F.col("node_id") == "error", F.max("layer").over(by) + 1).otherwise(F.col("layer"))
-    return lay.select("graph_id", "node_id", to.alias("l")).select("graph_id", "node_id", (F.dense_rank().over(by.orderBy("l")) - 1).cast("int").alias("layer"))
+    n, e = _dag(spark, d)
+    kinds = F.create_map(*map(F.lit, ("signup", "FIRST_SEPARATE", "click", "FIRST", "view", "LAST", "error", "LAST_SEPARATE")))
+    return G.constrained_layers(_layers(n, e), n.select("graph_id", "node_id", kinds[F.col("node_id")].alias("kind")))
 
 
 @query("SELECT graph_id, node_id, CAST(sum(opens) OVER (PARTITION BY graph_id ORDER BY x, node_id) - 1 AS INTEGER) AS layer FROM (SELECT graph_id, node_id, x, CASE WHEN x <= max(x + width) OVER (PARTITION BY graph_id ORDER BY x, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM nodes)", TRANSITION_SQL)

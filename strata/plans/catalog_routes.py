@@ -179,9 +179,7 @@ def partitions_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT graph_id, node_id, CAST(layer // 2 AS INTEGER) AS row, CAST(layer % 2 AS INTEGER) AS layer FROM lay", TRANSITION_SQL, _LAYERS, recursive=True)
 def wrap_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Long layer sequences continue on a new row after every second layer."""
-    lay = _layers(*_dag(spark, d))
-    return lay.select("graph_id", "node_id", F.expr("cast(layer div 2 as int)").alias("row"), F.expr("layer % 2").alias("layer"))
+    return G.wrapped(_layers(*_dag(spark, d)), 2)
 
 
 @query("SELECT graph_id, layer, count(*) AS n, sum(height) + 20.0 * (count(*) - 1) AS size FROM pos GROUP BY graph_id, layer", TRANSITION_SQL, _LAYERS, recursive=True)
@@ -210,11 +208,9 @@ def route_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT e.graph_id, e.edge_id, greatest(CASE WHEN s.ord % 3 = 0 THEN 10.0 * s.ord ELSE 20.0 END, CASE WHEN t.ord % 3 = 0 THEN 10.0 * t.ord ELSE 20.0 END) AS gap FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.source_id JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.target_id", TRANSITION_SQL)
 def spacing_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """The gap of two nodes: the larger of their own values, each the default where a node has none."""
+    """Every third node has a value of its own."""
     n, e = transition_graphs(spark, d)
-    own = n.select("graph_id", "node_id", F.coalesce(F.when(F.col("ord") % 3 == 0, F.col("ord") * 10.0), F.lit(20.0)).alias("own"))
-    e = e.join(own.withColumnsRenamed({"node_id": "source_id", "own": "a"}), ["graph_id", "source_id"]).join(own.withColumnsRenamed({"node_id": "target_id", "own": "b"}), ["graph_id", "target_id"])
-    return e.select("graph_id", "edge_id", F.greatest("a", "b").alias("gap"))
+    return G.resolved_gaps(e, n.where("ord % 3 = 0").select("graph_id", "node_id", (F.col("ord") * 10.0).alias("gap")), 20.0)
 
 
 @query("SELECT graph_id, node_id, degree, degree >= 6 AS high FROM (SELECT graph_id, node_id, count(*) AS degree FROM (SELECT graph_id, source_id AS node_id FROM edges WHERE source_id <> target_id UNION ALL SELECT graph_id, target_id FROM edges WHERE source_id <> target_id) GROUP BY ALL)", TRANSITION_SQL)
