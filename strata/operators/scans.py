@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -16,7 +16,7 @@ def nearest_before(nodes: DataFrame, spacing: float = 0.0) -> DataFrame:
     constraint that a scan line finds.  Ties go to the greater node id; nodes without one are left out."""
     b = quality.boxes(nodes).withColumn("c", (F.col("x1") + F.col("x2")) / 2)
     lane = b.withColumns({"y1": F.col("y1") - spacing / 2, "y2": F.col("y2") + spacing / 2})
-    left = F.min("x1").over(quality.Window.partitionBy("graph_id"))
+    left = F.min("x1").over(Window.partitionBy("graph_id"))
     # A node looks from the left end of its graph up to its own middle; grid levels keep long looks short of rows.
     look = lane.withColumns({"x2": F.col("c"), "x1": left})
     here = lane.withColumns({"x1": F.col("c"), "x2": F.col("c")})

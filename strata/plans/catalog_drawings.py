@@ -9,7 +9,7 @@ from ..functions import geometry as g
 from ..operators import constraints, graph, labels, options, packing, quality, scans
 from ..operators import kernels as K
 from ..sources.graphs import TRADE_SQL, TRANSITION_SQL, trade_graphs, transition_graphs
-from .catalog import _DAG_LAYERS, _DAG_ORIENT, _ELBOW, _ENDS, _PLACE, _dag, _layers, query
+from .catalog import _DAG_LAYERS, _ELBOW, _ENDS, _PLACE, _layers, query
 from .runner import per_graph
 
 #: Layers without one row a path: the graphs of this family have too many.
@@ -119,7 +119,6 @@ def _label_sizes(edges: DataFrame) -> DataFrame:
 
 
 _LABEL = " lab AS (SELECT graph_id, edge_id, (sx + tx) / 2 - 4.0 * length(edge_id) AS x1, (sx + tx) / 2 + 4.0 * length(edge_id) AS x2, (sy + ty) / 2 - 6.0 AS y1, (sy + ty) / 2 + 6.0 AS y2 FROM seg0)"
-_COVER = "x1 < {0}x2 - 1e-6 AND {1}x2 > {0}x1 + 1e-6"
 
 
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
