@@ -53,3 +53,60 @@ def catmull_rom(points: Column) -> Column:
         return F.struct(p1.alias("a"), control(p1, p2, p0, e1, d1).alias("c1"), control(p2, p1, p3, e3, d3).alias("c2"), p2.alias("b"))
 
     return F.transform(segments(points), piece)
+
+
+def s_curve(points: Column) -> Column:
+    """struct<a, c1, c2, b>: one cubic from the first point to the last, pulled towards the two between."""
+    names = ("a", "c1", "c2", "b")
+    return F.struct(*[F.element_at(points, i).alias(n) for i, n in zip((1, 2, -2, -1), names, strict=True)])
+
+
+def _between(a: Column, b: Column, t: Column) -> Column:
+    return point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
+
+
+def split_cubic(c: Column, t: Column) -> Column:
+    """struct<before, after>: both parts of a cubic cut at the parameter ``t``, by repeated interpolation."""
+    p, q, r = _between(c["a"], c["c1"], t), _between(c["c1"], c["c2"], t), _between(c["c2"], c["b"], t)
+    u, v = _between(p, q, t), _between(q, r, t)
+    cut = _between(u, v, t)
+    piece = lambda *ps: F.struct(*[x.alias(n) for x, n in zip(ps, ("a", "c1", "c2", "b"), strict=True)])
+    return F.struct(piece(c["a"], p, u, cut).alias("before"), piece(cut, v, r, c["b"]).alias("after"))
+
+
+def flattened(c: Column, tolerance: float = 0.5) -> Column:
+    """Points on a cubic whose chords stay within ``tolerance`` of it: the second differences bound the error."""
+    bow = lambda p, q, r: F.sqrt((p["x"] - 2 * q["x"] + r["x"]) * (p["x"] - 2 * q["x"] + r["x"]) + (p["y"] - 2 * q["y"] + r["y"]) * (p["y"] - 2 * q["y"] + r["y"]))
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(bow(c["a"], c["c1"], c["c2"]), bow(c["c1"], c["c2"], c["b"])) * 0.75 / tolerance)).cast("int"))
+
+    def at(i: Column) -> Column:
+        t = i / n
+        s = 1 - t
+        on = lambda k: c["a"][k] * s * s * s + 3 * c["c1"][k] * s * s * t + 3 * c["c2"][k] * s * t * t + c["b"][k] * t * t * t
+        return point(on("x"), on("y"))
+
+    return F.transform(F.sequence(F.lit(0), n), at)
+
+
+def spline_pieces(points: Column) -> Column:
+    """array<struct<a, c1, c2, b>>: the cubics of the uniform cubic B-spline that starts and ends in its outer points.
+
+    ``points`` are four or more.  Knots are 0, 0, 0, 0, 1, 2, ..., m, m, m, m for m pieces; a control point of piece i is
+    the value of its polar form at three of the knots i and i + 1.
+    """
+    m = F.size(points) - 3
+
+    def piece(i: Column) -> Column:
+        knot = lambda k: F.greatest(F.lit(0), F.least(i + k, m)).cast("double")
+
+        def polar(*at: Column) -> Column:
+            def step(level: Column, u: Column) -> Column:
+                low = lambda j: knot(j + 2 - F.size(level))
+                return F.transform(F.slice(level, F.lit(1), F.size(level) - 1), lambda p, j: _between(p, F.get(level, j + 1), (u - low(j)) / (knot(j + 1) - low(j))))
+
+            return F.aggregate(F.array(*at), F.slice(points, i + 1, F.lit(4)), step, lambda level: F.get(level, F.lit(0)))
+
+        lo, hi = i.cast("double"), (i + 1).cast("double")
+        return F.struct(polar(lo, lo, lo).alias("a"), polar(lo, lo, hi).alias("c1"), polar(lo, hi, hi).alias("c2"), polar(hi, hi, hi).alias("b"))
+
+    return F.transform(F.sequence(F.lit(0), m - 1), piece)

@@ -65,6 +65,19 @@ def point_at(points: Column, distance: Column) -> Column:
     return F.aggregate(segments(points), first, walk, lambda s: s["p"])
 
 
+def direction_at(points: Column, distance: Column) -> Column:
+    """The unit direction of the segment that an arc length falls in, clamped to the ends; (0, 0) for a path without length."""
+    first = F.struct(point(F.lit(0.0), F.lit(0.0)).alias("way"), F.lit(0.0).alias("far"))
+
+    def walk(state: Column, s: Column) -> Column:
+        n = length(s)
+        here = (n > 0) & ((state["far"] == 0) | (state["far"] < distance))
+        way = point((s["b"]["x"] - s["a"]["x"]) / n, (s["b"]["y"] - s["a"]["y"]) / n)
+        return F.struct(F.when(here, way).otherwise(state["way"]).alias("way"), (state["far"] + n).alias("far"))
+
+    return F.aggregate(segments(points), first, walk, lambda s: s["way"])
+
+
 def trimmed(points: Column, start: Column, end: Column) -> Column:
     """The part of a path from ``start`` along it to ``end`` before its end; one point where nothing is left."""
     n = path_length(points)

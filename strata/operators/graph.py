@@ -263,3 +263,69 @@ def tracks(spans: list[tuple[float, float]]) -> list[int]:
             out[k], used = used, used + 1
         heapq.heappush(busy, (high, out[k]))
     return out
+
+
+def constrained_orientation(nodes: DataFrame, edges: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Edges against the authored order are reversed, where FIRST and LAST nodes (graph_id, node_id, kind) count as a
+    whole graph earlier or later, FIRST_SEPARATE and LAST_SEPARATE ones as two."""
+    n = nodes.select("graph_id", "node_id", "ord", F.count("*").over(Window.partitionBy("graph_id")).alias("n")).join(constraints.select("graph_id", "node_id", "kind"), ["graph_id", "node_id"], "left")
+    kind = F.col("kind")
+    times = F.when(kind == "FIRST_SEPARATE", -2).when(kind == "FIRST", -1).when(kind == "LAST", 1).when(kind == "LAST_SEPARATE", 2).otherwise(0)
+    at = n.select("graph_id", "node_id", (F.col("ord") + times * F.col("n")).alias("o"))
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "o": "so"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "o": "to"}), ["graph_id", "target_id"])
+    return e.select("graph_id", "edge_id", (F.col("so") > F.col("to")).alias("reversed"))
+
+
+def priority_degrees(nodes: DataFrame, edges: DataFrame, priorities: DataFrame) -> DataFrame:
+    """In- and out-degrees where an edge counts 1 and its priority (graph_id, edge_id, priority) if that is above 0."""
+    e = edges.drop("weight").join(priorities.select("graph_id", "edge_id", "priority"), ["graph_id", "edge_id"], "left")
+    return degrees(nodes, e.withColumn("weight", (F.greatest(F.coalesce("priority", F.lit(0)), F.lit(0)) + 1).cast("long")))
+
+
+def passing_edges(edges: DataFrame, layers: DataFrame) -> DataFrame:
+    """How many edges pass each layer, that is need a dummy in it; layers that none passes are left out."""
+    at = layers.select("graph_id", "node_id", "layer")
+    e = edges.join(at.withColumnsRenamed({"node_id": "source_id", "layer": "a"}), ["graph_id", "source_id"]).join(at.withColumnsRenamed({"node_id": "target_id", "layer": "b"}), ["graph_id", "target_id"])
+    passed = e.where("b - a > 1").select("graph_id", F.explode(F.sequence(F.col("a") + 1, F.col("b") - 1)).alias("layer"))
+    return passed.groupBy("graph_id", "layer").agg(F.count("*").alias("dummies"))
+
+
+def edge_owners(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, edge_id, owner_id): the nearest node that holds both ends, or the end that holds the other one; null
+    at the top.  A self-loop belongs to its node's container."""
+    up = closure(nodes).unionByName(nodes.select("graph_id", "node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("depth")))
+    a = edges.select("graph_id", "edge_id", "source_id", "target_id").join(up.withColumnRenamed("node_id", "source_id"), ["graph_id", "source_id"])
+    both = a.join(up.select("graph_id", F.col("node_id").alias("target_id"), "ancestor_id"), ["graph_id", "target_id", "ancestor_id"]).where("source_id <> target_id or depth > 0")
+    owners = both.groupBy("graph_id", "edge_id").agg(F.min_by("ancestor_id", "depth").alias("owner_id"))
+    return edges.select("graph_id", "edge_id").join(owners, ["graph_id", "edge_id"], "left")
+
+
+def native_places(world: DataFrame, nodes: DataFrame) -> DataFrame:
+    """World places (graph_id, node_id, world_x, world_y) of all nodes as places in their parents."""
+    above = world.select("graph_id", F.col("node_id").alias("parent_id"), F.col("world_x").alias("px"), F.col("world_y").alias("py"))
+    n = world.join(nodes.select("graph_id", "node_id", "parent_id"), ["graph_id", "node_id"]).join(above, ["graph_id", "parent_id"], "left")
+    zero = F.lit(0.0)
+    return n.select("graph_id", "node_id", (F.col("world_x") - F.coalesce("px", zero)).alias("x"), (F.col("world_y") - F.coalesce("py", zero)).alias("y"))
+
+
+def wrapped_at(layers: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Layers that start a new row at each of their graph's cuts (graph_id, layer); cuts beyond the layers do nothing."""
+    lists = cuts.groupBy("graph_id").agg(F.array_sort(F.collect_set("layer")).alias("cuts"))
+    n = layers.join(lists, "graph_id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<int>")))
+    past = F.filter("cuts", lambda c: (c > 0) & (c <= F.col("layer")))
+    return n.select("graph_id", "node_id", F.size(past).alias("row"), (F.col("layer") - F.coalesce(F.array_max(past), F.lit(0))).cast("int").alias("layer"))
+
+
+def wrapped_by_width(sizes: DataFrame, most: float, gap: float = 20.0) -> DataFrame:
+    """(graph_id, layer, size) -> row and start of each layer: a row ends before the layer that would pass ``most``."""
+    per = sizes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("layer", "size"))).alias("l"))
+    first = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("end"), F.array().cast("array<struct<layer:int,row:int,start:double>>").alias("out"))
+
+    def step(state, s):
+        start = F.when(F.size(state["out"]) == 0, 0.0).otherwise(state["end"] + gap)
+        turn = (start > 0) & (start + s["size"] > most)
+        row, start = state["row"] + turn.cast("int"), F.when(turn, 0.0).otherwise(start)
+        placed = F.struct(s["layer"].cast("int").alias("layer"), row.alias("row"), start.alias("start"))
+        return F.struct(row.alias("row"), (start + s["size"]).alias("end"), F.concat(state["out"], F.array(placed)).alias("out"))
+
+    return per.select("graph_id", F.inline(F.aggregate("l", first, step, lambda s: s["out"])))

@@ -72,6 +72,38 @@ def node_hits(routes: DataFrame, nodes: DataFrame) -> DataFrame:
     return grid_join(route_segments(routes), _suffixed(boxes(nodes)), inside).select("graph_id", "edge_id", "k", F.col("node_id_b").alias("node_id"))
 
 
+def _times(a: str, way: str, low: str, high: str) -> tuple[Column, Column]:
+    """When a point that moves from ``a`` by ``way`` in one unit of time is between ``low`` and ``high``; never: inf, -inf."""
+    t = [(F.col(c) - F.col(a)) / F.col(way) for c in (low, high)]
+    inside = F.expr(f"{a} > {low} and {a} < {high}")
+    ever = F.lit(float("inf"))
+    return F.when(F.col(way) != 0, F.least(*t)).when(inside, -ever).otherwise(ever), F.when(F.col(way) != 0, F.greatest(*t)).when(inside, ever).otherwise(-ever)
+
+
+def line_hits(routes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Segments of any direction that run through the open inside of a node, per segment and node."""
+    s = routes.select("graph_id", "edge_id", F.posexplode(g.segments(F.col("points"))).alias("k", "s"))
+    sides = [f(F.col(f"s.a.{c}"), F.col(f"s.b.{c}")).alias(n) for n, f, c in (("x1", F.least, "x"), ("x2", F.greatest, "x"), ("y1", F.least, "y"), ("y2", F.greatest, "y"))]
+    s = s.select("graph_id", "edge_id", "k", *sides, F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.expr("s.b.x - s.a.x").alias("dx"), F.expr("s.b.y - s.a.y").alias("dy"))
+    (fx, ux), (fy, uy) = _times("ax", "dx", "x1_b", "x2_b"), _times("ay", "dy", "y1_b", "y2_b")
+    through = F.greatest(F.lit(0.0), fx, fy) < F.least(F.lit(1.0), ux, uy) - 1e-10
+    return grid_join(s, _suffixed(boxes(nodes)), through).select("graph_id", "edge_id", "k", F.col("node_id_b").alias("node_id"))
+
+
+def frames(nodes: DataFrame, routes: DataFrame, labels: DataFrame, padding: float = 12.0) -> DataFrame:
+    """How far each drawing moves so that nodes, routes and labels (graph_id, x1, x2, y1, y2) start at the padding, and its size then."""
+    cols = ("graph_id", "x1", "x2", "y1", "y2")
+    every = boxes(nodes).select(*cols).unionByName(route_segments(routes).select(*cols)).unionByName(labels.select(*cols))
+    b = every.groupBy("graph_id").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    return b.select("graph_id", (padding - F.col("x1")).alias("dx"), (padding - F.col("y1")).alias("dy"), (F.col("x2") - F.col("x1") + 2 * padding).alias("width"), (F.col("y2") - F.col("y1") + 2 * padding).alias("height"))
+
+
+def moved_routes(routes: DataFrame, by: DataFrame) -> DataFrame:
+    """Routes moved by their drawing's (graph_id, dx, dy)."""
+    to = F.transform("points", lambda p: g.point(p["x"] + F.col("dx"), p["y"] + F.col("dy")))
+    return routes.join(by.select("graph_id", "dx", "dy"), "graph_id").select("graph_id", "edge_id", to.alias("points"))
+
+
 def route_crossings(routes: DataFrame) -> DataFrame:
     """Points where a horizontal segment crosses a vertical one of another route, strictly inside both; each once a pair."""
     s = route_segments(routes)

@@ -119,3 +119,18 @@ def best_candidate(measured: DataFrame, measures: list[str], loose: set[str]) ->
     rest = F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))
     best = F.aggregate(rest, F.element_at("l", 1), lambda b, c: F.when(better(c, b, measures, loose), c).otherwise(b))
     return listed.select("graph_id", best["candidate"].alias("candidate"))
+
+
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """Pieces of routes (graph_id, edge_id, piece, points), in their order, as one route without superfluous points."""
+    r = pieces.groupBy("graph_id", "edge_id").agg(F.array_sort(F.collect_list(F.struct("piece", "points"))).alias("l"))
+    return r.select("graph_id", "edge_id", g.simplify(F.flatten("l.points")).alias("points"))
+
+
+def update_counts(before: DataFrame, after: DataFrame, affected: DataFrame) -> DataFrame:
+    """Per graph: routes after an update, how many of them were looked at again, kept unseen, and came out changed."""
+    was = before.select("graph_id", "edge_id", F.col("points").alias("was"))
+    seen = affected.select("graph_id", "edge_id").distinct().withColumn("seen", F.lit(True))
+    both = after.join(was, ["graph_id", "edge_id"], "left").join(seen, ["graph_id", "edge_id"], "left")
+    many = lambda c: F.count_if(c)
+    return both.groupBy("graph_id").agg(F.count("*").alias("routed"), many(F.col("seen").isNotNull()).alias("affected"), many(F.col("seen").isNull()).alias("reused"), many(~F.col("points").eqNullSafe(F.col("was"))).alias("changed"))

@@ -198,12 +198,12 @@ def component_strip(spark: SparkSession, d: str) -> DataFrame:
     return w.select("graph_id", "component", F.coalesce(F.sum(F.col("width") + 20.0).over(before), F.lit(0.0)).alias("x"), "width")
 
 
-@query("SELECT graph_id, count(*) AS routes, min(CASE WHEN k >= ceil(0.5 * n) THEN l END) AS p50, min(CASE WHEN k >= ceil(0.95 * n) THEN l END) AS p95 FROM (SELECT graph_id, l, row_number() OVER (PARTITION BY graph_id ORDER BY l) AS k, count(*) OVER (PARTITION BY graph_id) AS n FROM (SELECT graph_id, abs(tx - sx) + abs(ty - sy) AS l FROM seg0)) GROUP BY graph_id", TRANSITION_SQL, _ELBOW)
+@query("SELECT graph_id, count(*) AS routes, min(CASE WHEN k >= ceil(0.5 * n) THEN l END) AS p50, min(CASE WHEN k >= ceil(0.95 * n) THEN l END) AS p95, min(CASE WHEN k >= ceil(0.99 * n) THEN l END) AS p99 FROM (SELECT graph_id, l, row_number() OVER (PARTITION BY graph_id ORDER BY l) AS k, count(*) OVER (PARTITION BY graph_id) AS n FROM (SELECT graph_id, abs(tx - sx) + abs(ty - sy) AS l FROM seg0)) GROUP BY graph_id", TRANSITION_SQL, _ELBOW)
 def route_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Nearest-rank percentiles of route lengths."""
     r = _elbows(spark, d).select("graph_id", g.manhattan_length(F.col("points")).alias("l"))
     at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY l)")
-    return r.groupBy("graph_id").agg(F.count("*").alias("routes"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return r.groupBy("graph_id").agg(F.count("*").alias("routes"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 @query("SELECT e.graph_id, e.edge_id, greatest(CASE WHEN s.ord % 3 = 0 THEN 10.0 * s.ord ELSE 20.0 END, CASE WHEN t.ord % 3 = 0 THEN 10.0 * t.ord ELSE 20.0 END) AS gap FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.source_id JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.target_id", TRANSITION_SQL)

@@ -63,7 +63,7 @@ def trade_graphs(spark: SparkSession, sf_dir: str, most_targets: int = 3) -> tup
     kept = lines.withColumn("k", top).where(F.col("k") <= most_targets)
     name = lambda k: F.lpad(k.cast("string"), 2, "0")
     ends = kept.select("y", F.explode(F.array("a", "b")).alias("n_nationkey")).distinct()
-    nodes = ends.join(F.broadcast(n.select("n_nationkey", "n_name")), "n_nationkey").select(
+    nodes = ends.join(n.select("n_nationkey", "n_name"), "n_nationkey").select(
         F.col("y").cast("string").alias("graph_id"),
         name(F.col("n_nationkey")).alias("node_id"),
         F.lit(None).cast("string").alias("parent_id"),
