@@ -329,3 +329,17 @@ def wrapped_by_width(sizes: DataFrame, most: float, gap: float = 20.0) -> DataFr
         return F.struct(row.alias("row"), (start + s["size"]).alias("end"), F.concat(state["out"], F.array(placed)).alias("out"))
 
     return per.select("graph_id", F.inline(F.aggregate("l", first, step, lambda s: s["out"])))
+
+
+def place_by_cross(nodes: DataFrame, order: DataFrame, layer_gap: float = 20.0, node_gap: float = 20.0, padding: float = 12.0) -> DataFrame:
+    """Layers side by side; nodes stay at their authored height unless the one before them in the layer is in the way,
+    then they move down just so far.  The topmost node of a graph is at the padding.
+
+    A node's height is the greatest, over those up to it, of an authored one plus the room of the nodes from there on.
+    """
+    flow = place_simple(nodes, order, layer_gap, node_gap, padding).select("graph_id", "node_id", "layer", "x", "width", "height")
+    n = flow.join(order.select("graph_id", "node_id", "pos"), ["graph_id", "node_id"]).join(nodes.select("graph_id", "node_id", F.col("y").alias("own")), ["graph_id", "node_id"])
+    by = Window.partitionBy("graph_id", "layer").orderBy("pos")
+    room = F.coalesce(F.sum(F.col("height") + node_gap).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    n = n.withColumn("room", room).withColumn("at", F.col("room") + F.max(F.col("own") - F.col("room")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return n.select("graph_id", "node_id", "layer", "x", (F.col("at") - F.min("at").over(Window.partitionBy("graph_id")) + padding).alias("y"), "width", "height")

@@ -41,17 +41,27 @@ def rectangle_packing(nodes: DataFrame, spacing: float = 20.0, padding: float =
     return _unpacked(g.select("graph_id", _shelves(F.col("ns"), padding, padding, spacing, lambda x, w: (x > padding) & (x + w > padding + target)).alias("placed")))
 
 
-def box_packing(nodes: DataFrame, spacing: float = 15.0, padding: float = 15.0, aspect: float = 1.3) -> DataFrame:
-    """Rows of boxes by area, width by total area, its spread and the aspect ratio (rounded to single precision)."""
+def box_packing(nodes: DataFrame, spacing: float = 15.0, padding: float = 15.0, aspect: float = 1.3, priority: str | None = None, interactive: bool = False, expand: bool = False) -> DataFrame:
+    """Rows of boxes by area, width by total area, its spread and the aspect ratio (rounded to single precision).
+
+    ``priority``: a column whose larger values come first; ``interactive``: authored places (y, then x) go before areas;
+    ``expand``: boxes get the height of their row, the last of a row reaches as far as the broadest one.
+    """
     aspect = F.lit(aspect).cast("float").cast("double")
     area = F.col("width") * F.col("height")
-    order = F.array_sort(F.collect_list(F.struct(area.alias("a"), "ord", "node_id", "width", "height")))
+    first = [(-F.coalesce(F.col(priority), F.lit(0))).alias("p")] if priority else []
+    order = F.array_sort(F.collect_list(F.struct(*first, *(["y", "x"] if interactive else []), area.alias("a"), "ord", "node_id", "width", "height")))
     g = nodes.groupBy("graph_id").agg(order.alias("ns"), F.sum(area).alias("total"), F.count("*").alias("n"), F.coalesce(F.stddev_samp(area), F.lit(0.0)).alias("sd"), F.max("width").alias("widest"))
     g = g.withColumn("t", F.col("total") + F.col("n") * F.col("sd"))
     g = g.withColumn("t", F.col("t") + F.sqrt("t") * (2 * padding))
     g = g.withColumn("t", F.col("t") + F.sqrt("t") * padding)
     most = F.greatest(F.col("widest"), F.sqrt(F.col("t") * aspect)) + padding
-    return _unpacked(g.select("graph_id", _shelves(F.col("ns"), padding, padding, spacing, lambda x, w: x + w > most).alias("placed")))
+    placed = _unpacked(g.select("graph_id", _shelves(F.col("ns"), padding, padding, spacing, lambda x, w: x + w > most).alias("placed")))
+    if not expand:
+        return placed
+    row, every = Window.partitionBy("graph_id", "y"), Window.partitionBy("graph_id")
+    last = F.col("x") == F.max("x").over(row)
+    return placed.select("graph_id", "node_id", "x", "y", F.when(last, F.max(F.col("x") + F.col("width")).over(every) - F.col("x")).otherwise(F.col("width")).alias("width"), F.max("height").over(row).alias("height"))
 
 
 def relative_spread(nodes: DataFrame, compact: bool, spacing: float = 20.0, padding: float = 0.0) -> DataFrame:
@@ -105,3 +115,20 @@ def random_places(nodes: DataFrame, edges: DataFrame, seed: Column, spacing: flo
     n = nodes.withColumn("k", k).join(size, "graph_id")
     draw = lambda i: F.element_at("draws", (F.col("k") * 2 + i).cast("int"))
     return n.select("graph_id", "node_id", (padding + draw(1) * (F.col("w") - F.col("width"))).alias("x"), (padding + draw(2) * (F.col("h") - F.col("height"))).alias("y"), "width", "height")
+
+
+def lcg_bits(n: int, seed: Column, bits: int) -> Column:
+    """The first n draws of ``bits`` bits (32 at most) of the generator of ``lcg_doubles``, as longs of 0 or more.
+
+    One bit is a boolean, 24 over 2^24 a float; 32 with the sign in the highest are an integer.
+    """
+    if not 1 <= bits <= 32:
+        raise ValueError("bits must be 1 to 32")
+    mod = F.lit(LCG_MOD).cast("decimal(38,0)")
+    start = F.struct(seed.bitwiseXOR(F.lit(LCG_MUL)).bitwiseAND(F.lit(LCG_MOD - 1)).cast("decimal(16,0)").alias("s"), F.array().cast("array<bigint>").alias("out"))
+
+    def draw(a: Column, _: Column) -> Column:
+        s = ((a["s"] * F.lit(LCG_MUL).cast("decimal(12,0)") + LCG_ADD) % mod).cast("decimal(16,0)")
+        return F.struct(s.alias("s"), F.concat(a["out"], F.array(F.shiftright(s.cast("long"), 48 - bits))).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, draw, lambda a: a["out"])

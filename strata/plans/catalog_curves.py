@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import curves
 from ..functions import geometry as g
-from ..operators import attachments, graph, measures, quality, routing
+from ..operators import attachments, graph, measures, packing, quality, routing
 from ..sources.graphs import CONTAINMENT_SQL, TRADE_SQL, TRANSITION_SQL, containment, transition_graphs
-from .catalog import _ELBOW, _PLACE, _UP, SQL, _layers, query
-from .catalog_drawings import _LABEL, _PLACED, _PORTS, _TRADE_LAYERS, _labelled, _trade, _trade_ports
+from . import registry
+from .catalog import _BOX, _ELBOW, _PLACE, _UP, SQL, _layers, _shelf, query
+from .catalog_drawings import _LABEL, _LCG, _PLACED, _PORTS, _TRADE_LAYERS, _labelled, _trade, _trade_ports
 from .catalog_routes import _moved
 
 
@@ -236,3 +237,54 @@ def quality_tuples(spark: SparkSession, d: str) -> DataFrame:
     n, e = transition_graphs(spark, d)
     _, r, at = _labelled(spark, d)
     return measures.quality_tuples(n, e, r, at)
+
+
+_OCT = " way AS (SELECT graph_id, edge_id, sx, sy, tx, ty, sx + sign(tx - sx) * least(abs(tx - sx), abs(ty - sy)) AS mx, sy + sign(ty - sy) * least(abs(tx - sx), abs(ty - sy)) AS my FROM seg0), oct AS (SELECT graph_id, edge_id, sx AS ax, sy AS ay, mx AS bx, my AS b_y FROM way UNION ALL SELECT graph_id, edge_id, mx, my, tx, ty FROM way), box AS (SELECT graph_id, 'n' || node_id AS id, x AS x1, x + width AS x2, y AS y1, y + height AS y2 FROM nodes UNION ALL SELECT graph_id, 'e' || edge_id, x1, x2, y1, y2 FROM lab)"
+
+
+def _side(a: str, c: str) -> str:
+    """On which side of segment ``a`` both ends of segment ``c`` lie, as the product of two signed areas."""
+    return " * ".join(f"(({a}.bx - {a}.ax) * ({c}.{y} - {a}.ay) - ({a}.b_y - {a}.ay) * ({c}.{x} - {a}.ax))" for x, y in (("ax", "ay"), ("bx", "b_y")))
+
+
+@query(
+    "SELECT n.graph_id, coalesce(i.n, 0) AS invalid, coalesce(o.n, 0) AS overlaps, coalesce(p.n, 0) AS path_order, coalesce(c.n, 0) AS crossings, coalesce(w.n, 0) AS bends, coalesce(w.length, 0) AS length FROM (SELECT DISTINCT graph_id FROM nodes) n"
+    " LEFT JOIN (SELECT graph_id, count(*) AS n FROM edges WHERE source_id = target_id GROUP BY ALL) i USING (graph_id)"
+    " LEFT JOIN (SELECT a.graph_id, count(*) AS n FROM box a JOIN box b ON a.graph_id = b.graph_id AND a.id < b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2 GROUP BY ALL) o USING (graph_id)"
+    " LEFT JOIN (SELECT a.graph_id, count(*) AS n FROM nodes a JOIN nodes b ON b.graph_id = a.graph_id AND b.ord = a.ord + 1 AND b.x <= a.x GROUP BY ALL) p USING (graph_id)"
+    f" LEFT JOIN (SELECT a.graph_id, count(*) AS n FROM oct a JOIN oct b ON a.graph_id = b.graph_id AND a.edge_id < b.edge_id AND {_side('a', 'b')} < 0 AND {_side('b', 'a')} < 0 GROUP BY ALL) c USING (graph_id)"
+    " LEFT JOIN (SELECT graph_id, count(*) AS n, round(sum(least(abs(tx - sx), abs(ty - sy)) * sqrt(2) + abs(abs(tx - sx) - abs(ty - sy))), 6) AS length FROM seg0 GROUP BY ALL) w USING (graph_id)",
+    TRANSITION_SQL, _ELBOW, _LABEL, _OCT,
+)
+def statechart_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Octilinear routes, labels in the middle of elbows, and a path through all nodes; self-loops have no route."""
+    n, e = transition_graphs(spark, d)
+    r = routing.octilinear_routes(n, e)
+    return measures.statechart_scores(n, e, r, _labelled(spark, d)[2], n.select("graph_id", F.col("ord").alias("k"), "node_id"))
+
+
+@query("SELECT graph_id, node_id, x, y, CASE WHEN x = max(x) OVER (PARTITION BY graph_id, y) THEN max(x + width) OVER (PARTITION BY graph_id) - x ELSE width END AS width, max(height) OVER (PARTITION BY graph_id, y) AS height FROM shelf", TRANSITION_SQL, *_shelf(15.0, 15.0, "s.x + s.width + 15.0 + i.width > i.most", "n.ord % 2 DESC, n.y, n.x, n.width * n.height, n.ord", _BOX), recursive=True)
+def arrange_box_expanded(spark: SparkSession, d: str) -> DataFrame:
+    """Odd nodes first, then by authored place; boxes fill their rows."""
+    n = transition_graphs(spark, d)[0].withColumn("first", F.col("ord") % 2)
+    return packing.box_packing(n, priority="first", interactive=True, expand=True)
+
+
+@query("SELECT graph_id, CAST(k AS INTEGER) - 1 AS k, s >> 47 = 1 AS flag, (s >> 24) / 16777216.0 AS fraction, CAST(CASE WHEN s >> 16 >= 2147483648 THEN (s >> 16) - 4294967296 ELSE s >> 16 END AS INTEGER) AS number FROM lcg WHERE k > 0", TRANSITION_SQL, _LCG.format(most=5), recursive=True)
+def lcg_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Booleans, fractions and integers of each graph's generator, five draws each."""
+    seed = F.col("graph_id").cast("long")
+    of = F.arrays_zip(*[packing.lcg_bits(5, seed, b).alias(f"b{b}") for b in (1, 24, 32)])
+    r = transition_graphs(spark, d)[0].select("graph_id").distinct().select("graph_id", F.posexplode(of).alias("k", "z"))
+    signed = F.when(F.col("z.b32") >= 1 << 31, F.col("z.b32") - (1 << 32)).otherwise(F.col("z.b32"))
+    return r.select("graph_id", "k", (F.col("z.b1") == 1).alias("flag"), (F.col("z.b24") / float(1 << 24)).alias("fraction"), signed.cast("int").alias("number"))
+
+
+_CROSS = " seen AS (SELECT l.graph_id, l.node_id, l.layer, n.y, n.width, n.height, row_number() OVER (PARTITION BY l.graph_id, l.layer ORDER BY n.y + n.height / 2, n.ord) - 1 AS pos FROM lay l JOIN nodes n USING (graph_id, node_id)), pushed AS (SELECT b.graph_id, b.node_id, max(a.y + coalesce((SELECT sum(c.height + 20) FROM seen c WHERE c.graph_id = b.graph_id AND c.layer = b.layer AND c.pos >= a.pos AND c.pos < b.pos), 0)) AS y FROM seen b JOIN seen a ON a.graph_id = b.graph_id AND a.layer = b.layer AND a.pos <= b.pos GROUP BY ALL)"
+
+
+@query("SELECT s.graph_id, s.node_id, CAST(s.layer AS INTEGER) AS layer, x0 + (lw - s.width) / 2 AS x, p.y - min(p.y) OVER (PARTITION BY s.graph_id) + 12.0 AS y, s.width, s.height FROM seen s JOIN pushed p USING (graph_id, node_id) JOIN lx ON lx.graph_id = s.graph_id AND lx.layer = s.layer", TRADE_SQL, _TRADE_LAYERS, _PLACE, _CROSS, recursive=True)
+def trade_places_by_cross(spark: SparkSession, d: str) -> DataFrame:
+    """The layered arrangement with two phases of our choice: order and heights follow authored places."""
+    n, e = _trade(spark, d)
+    return registry.arrange(n, e, "layered", order_nodes=graph.order_by_place, place_nodes=graph.place_by_cross)

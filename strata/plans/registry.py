@@ -53,10 +53,33 @@ def arrange(nodes: DataFrame, edges: DataFrame, algorithm: str | Algorithm = "la
     return _ALGORITHMS[algorithm](nodes, edges, **options)
 
 
-def _layered(nodes: DataFrame, edges: DataFrame, **options) -> DataFrame:
-    e = G.oriented(edges, G.model_order_orientation(nodes, edges))
-    layers = per_graph(nodes, e, lambda ids, _, es: zip(ids, K.longest_path(len(ids), es), strict=True), "node_id string, layer int")
-    return G.place_simple(nodes, G.order_in_layers(nodes, layers), **options)
+def _longest_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return per_graph(nodes, edges, lambda ids, _, es: zip(ids, K.longest_path(len(ids), es), strict=True), "node_id string, layer int")
+
+
+def layered(
+    nodes: DataFrame,
+    edges: DataFrame,
+    *,
+    break_cycles: Callable[[DataFrame, DataFrame], DataFrame] = G.model_order_orientation,
+    assign_layers: Callable[[DataFrame, DataFrame], DataFrame] = _longest_path,
+    order_nodes: Callable[[DataFrame, DataFrame], DataFrame] = G.order_in_layers,
+    place_nodes: Callable[..., DataFrame] = G.place_simple,
+    trace: Callable[[str, DataFrame], None] | None = None,
+    **options,
+) -> DataFrame:
+    """Layers in flow direction.  Every phase can be another function of (nodes, edges), (nodes, edges in flow
+    direction), (nodes, layers) and (nodes, order, **options); ``trace`` is told each phase's name and rows."""
+    told = trace or (lambda name, rows: None)
+    orientation = break_cycles(nodes, edges)
+    told("break_cycles", orientation)
+    layers = assign_layers(nodes, G.oriented(edges, orientation))
+    told("assign_layers", layers)
+    order = order_nodes(nodes, layers)
+    told("order_nodes", order)
+    placed = place_nodes(nodes, order, **options)
+    told("place_nodes", placed)
+    return placed
 
 
 def _points(kernel) -> Algorithm:
@@ -69,7 +92,7 @@ def _points(kernel) -> Algorithm:
     return run
 
 
-register("layered", _layered)
+register("layered", layered)
 register("force", _points(arrangements.force_arrangement))
 register("stress", _points(lambda n, es, **o: K.stress_arrangement(n, es, **o)[0]))
 register("rectpacking", lambda nodes, edges, **o: packing.rectangle_packing(nodes, **o))
