@@ -119,22 +119,60 @@ geo AS (SELECT 'geo' AS graph_id, 'R' || r_regionkey AS node_id, CAST(NULL AS VA
 
 
 def read_graph_json(spark: SparkSession, path: str, depth: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Authored JSON trees (id, x, y, width, height, children, edges with sources and targets), one document a file,
-    flattened level by level to nodes and edges.  ``depth``: levels read; a deeper tree raises an error."""
+    """The nodes and edges of ``read_graph_tables``."""
+    tables = read_graph_tables(spark, path, depth)
+    return tables["nodes"], tables["edges"]
+
+
+def read_graph_tables(spark: SparkSession, path: str, depth: int = 8) -> dict[str, DataFrame]:
+    """Authored JSON trees (id, x, y, width, height, children, ports, labels, layoutOptions, edges with sources and
+    targets), one document a file, flattened level by level.  ``depth``: levels read; a deeper tree raises an error.
+
+    nodes and edges as everywhere; an edge between ports is one between their nodes, and one with several ends goes
+    from the first source to the first target.  ``ends`` (graph_id, edge_id, role, k, node_id, port_id) has all of them;
+    ``ports`` (graph_id, port_id, node_id, ord, x, y, width, height); ``labels`` (graph_id, owner, owner_id, k, text,
+    width, height) and ``options`` (graph_id, owner, owner_id, name, value), whose owner is a graph, node, port or edge.
+    """
+    parts: dict[str, DataFrame] = {}
+
+    def add(name: str, rows: DataFrame) -> None:
+        parts[name] = parts[name].unionByName(rows, allowMissingColumns=True) if name in parts else rows
+
+    text = lambda v, k: F.variant_get(v, f"$.{k}", "string")
+    number = lambda v, k: F.coalesce(F.variant_get(v, f"$.{k}", "double"), F.lit(0.0)).alias(k)
+    each = lambda v, k: F.posexplode(F.variant_get(v, f"$.{k}", "array<variant>"))
+
+    def owned(rows: DataFrame, owner: str, v: str) -> None:
+        """Labels and options of the entities in column ``v``."""
+        l = rows.select("graph_id", F.lit(owner).alias("owner"), text(v, "id").alias("owner_id"), each(v, "labels").alias("k", "l"))
+        add("labels", l.select("graph_id", "owner", "owner_id", "k", text("l", "text").alias("text"), number("l", "width"), number("l", "height")))
+        options = F.explode(F.variant_get(v, "$.layoutOptions", "map<string,string>")).alias("name", "value")
+        add("options", rows.select("graph_id", F.lit(owner).alias("owner"), text(v, "id").alias("owner_id"), options))
+
     roots = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    level = roots.select(F.variant_get("v", "$.id", "string").alias("graph_id"), F.lit(None).cast("string").alias("parent_id"), "v")
-    nodes = edges = None
+    level = roots.select(text("v", "id").alias("graph_id"), F.lit(None).cast("string").alias("parent_id"), "v")
+    owned(level, "graph", "v")
     for n in range(depth + 1):
-        kids = level.select("graph_id", F.when(F.lit(n > 0), F.variant_get("v", "$.id", "string")).alias("parent_id"), F.posexplode(F.variant_get("v", "$.children", "array<variant>")).alias("ord", "v"))
-        own = level.select("graph_id", F.posexplode(F.variant_get("v", "$.edges", "array<variant>")).alias("ord", "e"))
-        own = own.select("graph_id", F.variant_get("e", "$.id", "string").alias("edge_id"), F.variant_get("e", "$.sources[0]", "string").alias("source_id"), F.variant_get("e", "$.targets[0]", "string").alias("target_id"), "ord", F.lit(1).cast("long").alias("weight"))
-        edges = own if edges is None else edges.unionByName(own)
+        kids = level.select("graph_id", F.when(F.lit(n > 0), text("v", "id")).alias("parent_id"), each("v", "children").alias("ord", "v"))
+        own = level.select("graph_id", each("v", "edges").alias("ord", "e"))
+        add("edges", own.select("graph_id", text("e", "id").alias("edge_id"), "ord"))
+        owned(own, "edge", "e")
+        for role in ("source", "target"):
+            ends = F.posexplode(F.variant_get("e", f"$.{role}s", "array<string>")).alias("k", "id")
+            add("ends", own.select("graph_id", text("e", "id").alias("edge_id"), F.lit(role).alias("role"), ends))
         if n == depth:
-            deep = kids.select("graph_id", F.raise_error(F.lit(f"graph deeper than {depth} levels")).cast("string").alias("node_id"))
-            nodes = nodes.unionByName(deep, allowMissingColumns=True)
+            add("nodes", kids.select("graph_id", F.raise_error(F.lit(f"graph deeper than {depth} levels")).cast("string").alias("node_id")))
             break
-        number = lambda k: F.coalesce(F.variant_get("v", f"$.{k}", "double"), F.lit(0.0)).alias(k)
-        found = kids.select("graph_id", F.variant_get("v", "$.id", "string").alias("node_id"), "parent_id", "ord", number("x"), number("y"), number("width"), number("height"))
-        nodes = found if nodes is None else nodes.unionByName(found)
+        add("nodes", kids.select("graph_id", text("v", "id").alias("node_id"), "parent_id", "ord", *[number("v", k) for k in ("x", "y", "width", "height")]))
+        owned(kids, "node", "v")
+        ports = kids.select("graph_id", text("v", "id").alias("node_id"), each("v", "ports").alias("ord", "p"))
+        add("ports", ports.select("graph_id", text("p", "id").alias("port_id"), "node_id", "ord", *[number("p", k) for k in ("x", "y", "width", "height")]))
+        owned(ports, "port", "p")
         level = kids.select("graph_id", "parent_id", "v")
-    return nodes, edges
+    at = parts["ports"].select("graph_id", F.col("port_id").alias("id"), F.col("node_id").alias("of"))
+    ends = parts["ends"].join(at, ["graph_id", "id"], "left")
+    parts["ends"] = ends.select("graph_id", "edge_id", "role", "k", F.coalesce("of", "id").alias("node_id"), F.when(F.col("of").isNotNull(), F.col("id")).alias("port_id"))
+    first = parts["ends"].where("k = 0").groupBy("graph_id", "edge_id").agg(F.max(F.when(F.col("role") == "source", F.col("node_id"))).alias("source_id"), F.max(F.when(F.col("role") == "target", F.col("node_id"))).alias("target_id"))
+    edges = parts["edges"].join(first, ["graph_id", "edge_id"], "left")
+    parts["edges"] = edges.select("graph_id", "edge_id", "source_id", "target_id", "ord", F.lit(1).cast("long").alias("weight"))
+    return parts
