@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, exact_dedup, lm_score, mixing, quality, secrets, simhash, spelling, surrogates, token_counts, toxicity
+from . import conversations, decontaminate, exact_dedup, licenses, lm_score, mixing, quality, secrets, simhash, spelling, surrogates, token_counts, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
     "op11_repair_conversations": conversations.op11_repair_conversations,
+    "op12_license_scan": licenses.op12_license_scan,
     "op13_spelling": spelling.op13_spelling,
 }
-SQL = {"op5_decontaminate": decontaminate.OP5_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {"op5_decontaminate": decontaminate.OP5_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op12_license_scan": licenses.OP12_SQL}
