@@ -372,8 +372,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then the proximity matches: their number, and ``item:place:start`` of each."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    near = F.array_join(F.transform(F.array_sort("near"), lambda x: F.concat_ws(":", x["item"], x["place"].cast("string"), x["start"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", F.array_join("items", ",").alias("items"), near.alias("near"))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -388,9 +390,21 @@ dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS win
 m AS (SELECT doc_id, item_id, i, k FROM dw JOIN bw USING (k, win)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
-      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id),
+-- proximity: windows that don't occur, four fifths of whose distinct terms stand in 3 places more than they have
+places AS (SELECT CAST(item_id AS VARCHAR) AS item, k, i - 1 AS place, array_to_string(w[i:i + k - 1], ' ') AS win, list_distinct(w[i:i + k - 1]) AS terms FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+need AS (SELECT *, CAST(ceil(0.8 * len(terms) - 1e-9) AS BIGINT) AS need FROM places WHERE len(terms) > 1),
+term AS (SELECT item, place, k, need, win, unnest(terms) AS t FROM need),
+posting AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d),
+pair AS (SELECT doc_id, item, place, k, need, win FROM (SELECT DISTINCT doc_id, t FROM posting) JOIN term USING (t) GROUP BY ALL HAVING count(*) >= need),
+open AS (SELECT * FROM pair WHERE NOT EXISTS (SELECT 1 FROM dw WHERE dw.doc_id = pair.doc_id AND dw.k = pair.k AND dw.win = pair.win)),
+occurs AS (SELECT o.doc_id, o.item, o.place, o.k, o.need, p, t FROM open o JOIN term USING (item, place) JOIN posting USING (doc_id, t)),
+stretch AS (SELECT e.doc_id, e.item, e.place, greatest(0, e.p - e.k - 2) AS start FROM occurs e JOIN occurs f ON f.doc_id = e.doc_id AND f.item = e.item AND f.place = e.place AND f.p BETWEEN greatest(0, e.p - e.k - 2) AND e.p
+            GROUP BY e.doc_id, e.item, e.place, e.k, e.need, e.p HAVING count(DISTINCT f.t) >= e.need),
+near AS (SELECT doc_id, count(*) AS n_near, string_agg(item || ':' || place || ':' || start, ',' ORDER BY item, place) AS near FROM (SELECT doc_id, item, place, min(start) AS start FROM stretch GROUP BY ALL) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0) AS n_near, coalesce(items, '') AS items, coalesce(near, '') AS near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN near USING (doc_id)
 """

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut, new_path, path_exists, table
 
 LEDGER_SCHEMA = "blob string, rule_version string, spans array<struct<start:int,kind:int,stop:int>>"
+_CHUNK = 256
 _OPEN, _CLOSE, _OTHER = "\u0001", "\u0002", "\u0003"
 
 
@@ -42,7 +43,7 @@ BASE_RULES = (
 )
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", hint="eyJ"),
+    Rule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+", hint="eyJ"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
     Rule("chat_hook", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
 )
@@ -56,7 +57,6 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, kind, stop>> of one rule; code points, stop exclusive."""
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     marked = F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
-    parts = F.split(marked, _OPEN)
 
     def step(state: Column, part: Column) -> Column:
         match = F.substring_index(part, _CLOSE, 1)
@@ -65,8 +65,18 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
         span = F.struct(state["at"].alias("start"), F.lit(number).alias("kind"), (state["at"] + length).alias("stop"))
         return F.struct((state["at"] + F.char_length(part) - 1).alias("at"), F.when(kept, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    start = F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), none.alias("found"))
-    found = F.aggregate(F.slice(parts, 2, F.greatest(F.lit(1), F.size(parts) - 1)), start, step, lambda s: s["found"])
+    def behind(state: Column, c: Column) -> Column:
+        moved = F.transform(c["found"], lambda x: F.struct((x["start"] + state["at"]).alias("start"), x["kind"].alias("kind"), (x["stop"] + state["at"]).alias("stop")))
+        return F.struct((state["at"] + c["at"]).alias("at"), F.concat(state["found"], F.array(moved)).alias("found"))
+
+    def folded(parts: Column) -> Column:
+        """A fold copies its list for every match, so matches are folded in chunks, and lists of these."""
+        chunk = lambda i: F.aggregate(F.slice(parts, i * _CHUNK + 2, F.lit(_CHUNK)), F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / _CHUNK).cast("int")), chunk)
+        start = F.struct(F.char_length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<array<struct<start:int,kind:int,stop:int>>>").alias("found"))
+        return F.flatten(F.aggregate(chunks, start, behind, lambda s: s["found"]))
+
+    found = F.get(F.transform(F.array(F.split(marked, _OPEN)), folded), F.lit(0))  # the parts are made once, as a lambda's variable
     possible = F.contains(text, F.lit(rule.hint)) if rule.hint else text.rlike(rule.pattern)
     return F.when(possible, found).otherwise(none)
 
