@@ -71,8 +71,8 @@ def trade_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def trade_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Points of the routes between neighbouring layers."""
+def trade_track_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the routes between neighbouring layers, each edge with ports of its own."""
     r = graph.track_routes(*_trade_ports(spark, d))
     return r.select("graph_id", "edge_id", "track", F.posexplode("points").alias("k", "p")).select("graph_id", "edge_id", "track", "k", "p.x", "p.y")
 

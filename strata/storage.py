@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+#: Tables of this process in the shared folder; what is left goes when the process ends.
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,5 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: later plans start at its files, also after an executor is lost."""
     path = f"{shared_dir(df.sparkSession)}/strata-{name}-{uuid.uuid4().hex[:12]}"
+    _made[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(*tables: DataFrame) -> None:
+    """Take away tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        for path in {p for p in _made if any(p.rsplit("/", 1)[-1] in f for f in df.inputFiles())}:
+            _delete(_made.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the cluster may be gone
+            _delete(spark, path)

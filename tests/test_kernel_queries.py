@@ -122,7 +122,7 @@ def test_tracks_are_as_few_as_needed_and_never_shared(spark):
     at = {(r.graph_id, r.node_id): r.layer for r in catalog.QUERIES["trade_layers"](spark, SF).collect()}
     east = {(r.graph_id, r.edge_id): at[r.graph_id, r.node_id] for r in catalog.QUERIES["trade_ports"](spark, SF).where("side = 'EAST'").collect()}
     routes = defaultdict(list)
-    for r in catalog.QUERIES["trade_routes"](spark, SF).collect():
+    for r in catalog.QUERIES["trade_track_routes"](spark, SF).collect():
         routes[r.graph_id, r.edge_id, r.track].append((r.k, r.x, r.y))
     gaps = defaultdict(list)
     for (g, e, track), points in routes.items():
