@@ -71,13 +71,13 @@ def affected_edges(spark: SparkSession, d: str) -> DataFrame:
     return R.affected_edges(quality.elbow_routes(n, e), e, _moved(n)[1])
 
 
-@query("SELECT graph_id, count(*) AS routes, 0 AS different FROM seg0 GROUP BY graph_id", TRANSITION_SQL, _ELBOW)
+@query("SELECT graph_id, edge_id, k, x, y FROM (SELECT graph_id, edge_id, sx, sy, (sx + tx) / 2 AS mx, tx, ty FROM (SELECT e.graph_id, e.edge_id, s.x + s.width / 2 + CASE WHEN s.ord = 0 THEN 30 ELSE 0 END AS sx, s.y + s.height / 2 AS sy, t.x + t.width / 2 + CASE WHEN t.ord = 0 THEN 30 ELSE 0 END AS tx, t.y + t.height / 2 AS ty FROM edges e JOIN nodes s ON s.graph_id = e.graph_id AND s.node_id = e.source_id JOIN nodes t ON t.graph_id = e.graph_id AND t.node_id = e.target_id WHERE e.source_id <> e.target_id)) r, LATERAL (VALUES (0, sx, sy), (1, mx, sy), (2, mx, ty), (3, tx, ty)) AS p(k, x, y)", TRANSITION_SQL)
 def route_update_equals_fresh(spark: SparkSession, d: str) -> DataFrame:
+    """All points of the routes after a node moved and only what that affects was drawn anew: as if all were."""
     n, e = transition_graphs(spark, d)
     before, (after, moved) = quality.elbow_routes(n, e), _moved(n)
     got = R.update_routes(before, after, e, R.affected_edges(before, e, moved), quality.elbow_routes)
-    both = got.join(quality.elbow_routes(after, e).withColumnRenamed("points", "fresh"), ["graph_id", "edge_id"], "full_outer")
-    return both.groupBy("graph_id").agg(F.count("*").alias("routes"), F.sum(F.when(F.expr("points <=> fresh"), 0).otherwise(1)).cast("int").alias("different"))
+    return got.select("graph_id", "edge_id", F.posexplode("points").alias("k", "p")).select("graph_id", "edge_id", "k", "p.x", "p.y")
 
 
 @query("SELECT e.graph_id, e.edge_id, 'update' AS op FROM edges e JOIN nodes n ON n.graph_id = e.graph_id AND n.ord = 0 AND n.node_id IN (e.source_id, e.target_id) WHERE e.source_id <> e.target_id", TRANSITION_SQL)
