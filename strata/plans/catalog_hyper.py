@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import end_labels
 from ..operators import graph as G
 from ..operators import hypersegments as H
 from ..sources.graphs import TRADE_SQL
@@ -74,3 +75,15 @@ def trade_route_bends(spark: SparkSession, d: str) -> DataFrame:
     steps = F.zip_with("points", F.slice("points", 2, F.size("points") - 1), lambda a, b: F.coalesce(F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]), F.lit(0.0)))
     length = F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
     return r.select("graph_id", "edge_id", (F.size("points") - 2).cast("long").alias("bends"), F.round(length, 4).alias("length"))
+
+
+@query()
+def trade_end_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels at both ends of every route, moved to where they cover least."""
+    n, e = (written(t, "trade") for t in _trade(spark, d))
+    every, order, segments = (written(t, "drawing") for t in H.expanded(n, e, written(_layers(n, e), "layers")))
+    placed = written(G.place_simple(every, order, 80.0, 30.0), "placed")
+    routes = written(H.edge_routes(H.gap_routes(H.gap_ends(placed, order, segments))), "routes")
+    end = lambda name, i, dx: F.struct(F.lit(name).alias("end"), (F.element_at("points", i)["x"] + dx).alias("x"), (F.element_at("points", i)["y"] + 2.0).alias("y"))
+    labels = routes.select("graph_id", "edge_id", F.inline(F.array(end("TAIL", 1, 2.0), end("HEAD", -1, -22.0))), F.lit(20.0).alias("width"), F.lit(8.0).alias("height"))
+    return end_labels.placed_end_labels(labels, routes, placed.where("width > 0").select("graph_id", "x", "y", "width", "height"))
