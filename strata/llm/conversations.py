@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import bounded_batches, cut, scratch, table
 
 #: Last line written: none yet, system, user, assistant.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -34,6 +34,7 @@ _BEFORE = ((), (START,), (START, SYSTEM, ASSISTANT), (USER,))  # states from whi
 _END = (0, 4, 2, 0)  # distances behind the last row
 _SHIFT = 13  # a piece has at most 2**13 rows
 _FAN = 1024
+_ROWS = 50_000  # rows that a task hands on at once
 _BLANK = r"^[\x20\x09-\x0D]*$"
 _OPEN_END = r"[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$"
 
@@ -159,12 +160,18 @@ def _scan(elements: DataFrame, combine: Callable, act: Callable, seed: list[int]
 
 
 def _mapped(frame: DataFrame, each: Callable, schema: str) -> DataFrame:
-    """``each(row)`` gives rows of ``schema``; Arrow batches."""
+    """``each(row)`` gives rows of ``schema``; a piece's rows at a time, and no more than ``_ROWS`` beside them."""
     names = [f.strip().split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([out for row in batch.itertuples(index=False) for out in each(row)], columns=names)
+            found = []
+            for row in batch.itertuples(index=False):
+                found += each(row)
+                if len(found) >= _ROWS:
+                    yield pd.DataFrame(found, columns=names)
+                    found = []
+            yield pd.DataFrame(found, columns=names)
 
     return frame.mapInPandas(run, schema)
 
@@ -322,7 +329,7 @@ def damaged(rows: DataFrame) -> DataFrame:
 def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged conversations, their faults, the least repair and its digest; one row for each conversation."""
     rows = table(spark, sf_dir, "conversations")
-    with scratch(spark) as keep:
+    with scratch(spark) as keep, bounded_batches(spark):
         audits, lines = repair(damaged(rows))
         every = rows.select("conv_id").distinct()
         digests = digests_of(lines)
