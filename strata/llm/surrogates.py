@@ -6,9 +6,13 @@ and the normal form and a key give the surrogate: same kind, digits for digits,
 syllables of the same script, given names of the gender a title tells.  A person is its given
 names and surname; each of these words is an entity of its own, so two persons never share a full surrogate.  Card
 numbers and IBANs keep valid check digits.  All distinct entities of the table are then checked together: where two of
-them, or a surrogate and a real entity, coincide, all but one draw again, until the map is one to one.  Texts are
+them, or a surrogate and a real entity, coincide, all but one draw again, until the map is one to one.  Shapes of digits
+alone get a digit more from their eighth further draw on (an IP address gets parts above 255), so none runs out.  Texts are
 parsed once and written in pieces; the finished map is joined back to the pieces, and texts are rebuilt around them.
 
+Persons are found by titles, and by what titles teach: a word that stands between a title and at least ``learn_from``
+different surnames is a given name, and so it is in any text of the table where a capitalised word follows it.
+
 Every repeat in the pattern is bounded, or possessive and so matched without recursion or backtracking, whatever the
 length of a text.
 """
@@ -55,6 +59,8 @@ KINDS = {
 #: Between a word and what surrounds it.
 _EDGES = r"(?<=\p{L})(?!\p{L}|['’-](?!s(?!\p{L}))\p{L})(?=.|\s)|(?<!\p{L}|\p{L}['’-])(?=\p{L})"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Two or more name words in a row: where a learnt given name may stand before a surname.
+RUN = rf"(?<!\p{{L}})(?<!\p{{L}}['’-]){_NAME}(?:\x20{_INITIALS}{_NAME})++"
 MENTION = "struct<kind:string,text:string,norm:string,script:string,gender:string,given:array<string>>"
 
 
@@ -150,20 +156,35 @@ def _from_draw(draw: Column, kind: Column, norm: Column, script: Column, gender:
         F.split(norm, ""),
         lambda c, i: F.when(c.rlike("[0-9]"), (_number(draw, i) % 10).cast("string")).when(c.rlike("[a-z]"), F.char(_number(draw, i) % 26 + 97)).when(c.rlike("[A-Z]"), F.char(_number(draw, i) % 26 + 65)).when(c.rlike(r"\p{IsCyrillic}"), F.element_at(F.split(F.lit(CYRILLIC), ""), _number(draw, i) % 32 + 1)).when(c.rlike(r"\p{L}"), F.char(_number(draw, i) % 26 + 97)).otherwise(c),
     )
-    octets = F.transform(F.split(norm, r"\."), lambda c, i: (_number(draw, i) % 254 + 1).cast("string"))
+    # Each further draw from the eighth on takes a digit more, or parts that no real address has.
+    longer = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - 6, F.lit(1))), lambda i: F.when(i < attempt - 6, (_number(draw, i + 61) % 10).cast("string")).otherwise("")), "")
+    octets = F.transform(F.split(norm, r"\."), lambda c, i: F.when(attempt > 7, _number(draw, i) % 744 + 256).otherwise(_number(draw, i) % 254 + 1).cast("string"))
     said = F.when(script == "cyrillic", F.array(*map(F.lit, SYLLABLES["cyrillic"]))).otherwise(F.array(*map(F.lit, SYLLABLES["latin"])))
-    syllables = F.transform(F.sequence(F.lit(0), F.lit(3) + attempt), lambda i: F.element_at(said, _number(draw, i) % 32 + 1))
+    # A surname has as many parts as the real one, with the same marks between them; its last part grows.
+    parts = F.split(norm, r"['’-]")
+    marks = F.split(F.regexp_replace(norm, r"[^'’-]", ""), "")
+    part = lambda k: F.array_join(F.transform(F.sequence(F.lit(0), F.when(F.size(parts) == 1, F.lit(3)).otherwise(1) + F.when(k == F.size(parts) - 1, attempt).otherwise(0)), lambda i: F.element_at(said, _number(draw, i + k * 7) % 32 + 1)), "")
+    surname = F.array_join(F.transform(parts, lambda _, k: F.concat(part(k), F.when(k < F.size(parts) - 1, F.get(marks, k)).otherwise(""))), "")
     given = F.lit("")
     for (s, g), names in GIVEN.items():
         given = F.when((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, names)), _number(draw, F.lit(0)) % len(names) + 1)).otherwise(given)
     more = F.transform(F.sequence(F.lit(1), attempt * 2 + 1), lambda i: F.when(i <= attempt * 2, F.element_at(said, _number(draw, i) % 32 + 1)).otherwise(""))
     given = F.concat(F.lower(given), F.array_join(more, ""))
     # An address keeps its country code and its top-level domain is one that is never delegated.
-    email = F.concat(F.substring_index(F.array_join(chars, ""), "@", 1), F.when(attempt > 2, F.array_join(more, "")).otherwise(""), F.lit("@"), F.regexp_replace(F.substring_index(F.array_join(chars, ""), "@", -1), r"[^.]+$", "example"))
-    iban = _with_mod97(F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 60)))
+    # A local part that is drawn as it was, or that has nothing to draw, gets two syllables.
+    local, was = F.substring_index(F.array_join(chars, ""), "@", 1), F.substring_index(norm, "@", 1)
+    two = F.concat(F.element_at(said, _number(draw, F.lit(71)) % 32 + 1), F.element_at(said, _number(draw, F.lit(72)) % 32 + 1))
+    email = F.concat(local, F.when(local == was, two).otherwise(""), F.when(attempt > 2, F.array_join(more, "")).otherwise(""), F.lit("@"), F.regexp_replace(F.substring_index(F.array_join(chars, ""), "@", -1), r"[^.]+$", "example"))
+    iban = _with_mod97(F.concat(F.substring(norm, 1, 2), F.substring(F.array_join(chars, ""), 3, 60), longer))
     # A card keeps the first digit, which tells its kind of issuer.
-    card = _with_luhn(F.concat(F.substring(norm, 1, 1), F.substring(F.array_join(chars, ""), 2, 40)))
-    return F.when(kind == "name", F.array_join(syllables, "")).when(kind == "given", given).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", iban).when(kind == "card", card).otherwise(F.array_join(chars, ""))
+    card = _with_luhn(F.concat(F.substring(norm, 1, 1), F.substring(F.array_join(chars, ""), 2, 40), longer))
+    return F.when(kind == "name", surname).when(kind == "given", given).when(kind == "ip", F.array_join(octets, ".")).when(kind == "email", email).when(kind == "iban", iban).when(kind == "card", card).otherwise(F.concat(F.array_join(chars, ""), longer))
+
+
+def _cased(surrogate: Column, like: Column) -> Column:
+    """A name word in the case of the one it stands for: all capitals, or a capital at the start of each part."""
+    capitals = F.array_join(F.transform(F.split(surrogate, r"(?<=['’-])"), F.initcap), "")
+    return F.when((F.char_length(like) > 2) & (F.upper(like) == like), F.upper(surrogate)).otherwise(capitals)
 
 
 def _laid_out(m: Column, s: Column, given: Column) -> Column:
@@ -172,14 +193,15 @@ def _laid_out(m: Column, s: Column, given: Column) -> Column:
         F.split(m["text"], ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("k")),
         lambda a, c: F.when(c.rlike("[0-9A-Z]"), F.struct(F.concat(a["out"], F.substring(s, a["k"], F.lit(1))).alias("out"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["k"].alias("k"))),
-        lambda a: a["out"],
+        lambda a: F.concat(a["out"], F.substring(s, a["k"], F.lit(100))),
     )
     title = F.regexp_extract(m["text"], rf"^({_LEAD})", 1)
-    name = F.concat(title, F.array_join(F.transform(F.concat(given, F.array(s)), F.initcap), " "))
+    words = F.split(F.substring(m["text"], F.char_length(title) + 1, F.char_length(m["text"])), " ")
+    name = F.concat(title, F.array_join(F.zip_with(F.concat(given, F.array(s)), words, _cased), " "))
     return F.when(m["kind"] == "name", name).when(m["kind"].isin("phone", "card", "ssn", "iban"), digits).otherwise(s)
 
 
-def surrogate_map(entities: DataFrame, key: str, most_rounds: int = 20) -> DataFrame:
+def surrogate_map(entities: DataFrame, key: str, most_rounds: int = 100) -> DataFrame:
     """(kind, norm, script, gender) -> (kind, norm, surrogate), one to one within a kind; no surrogate is a real entity."""
     now = cut(entities.groupBy("kind", "norm").agg(F.max("script").alias("script"), F.coalesce(F.max(F.when(F.col("gender") != "n", F.col("gender"))), F.lit("n")).alias("gender")).withColumn("attempt", F.lit(0)), "entities")
     real = now.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("taken"))
@@ -195,11 +217,13 @@ def surrogate_map(entities: DataFrame, key: str, most_rounds: int = 20) -> DataF
     raise RuntimeError(f"surrogates still collide after {most_rounds} rounds")
 
 
-def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str = "doc_id", text_col: str = "text", learn_from: int = 2) -> DataFrame:
     """One row per input row: id, text with surrogates, n_entities and n_<kind> of each kind.
 
-    Null texts stay null; texts without mentions are unchanged.  Names are found by their titles; untitled mentions of
-    them in the same text are replaced too, and not counted.  Repeated rows come out repeated; an empty table is empty.
+    Null texts stay null; texts without mentions are unchanged.  Names are found by their titles, or by a given name that
+    titles before ``learn_from`` or more surnames taught; other mentions of them in the same text are replaced too.  Only
+    titled ones are counted.  Repeated rows come out repeated; an empty table is empty; texts may have any length;
+    other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     # Parsed once: the pieces of texts with mentions, and the others as they are.  The row number keeps Catalyst from
@@ -211,6 +235,17 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
     found = split.select("row", F.explode("p").alias("x")).where("x.mention is not null").select("row", "x.mention.*")
     given = found.select("row", F.lit("given").alias("kind"), F.explode("given").alias("norm"), "script", "gender")
     entities = found.select("row", "kind", "norm", "script", "gender").unionByName(given)
+    # Untitled persons: runs of name words with a learnt given name before their last word.
+    learnt = found.where("kind = 'name'").select(F.explode("given").alias("norm"), F.col("norm").alias("surname")).where("char_length(norm) > 1").groupBy("norm").agg(F.countDistinct("surname").alias("n")).where(F.col("n") >= learn_from).select("norm")
+    plain = parsed.select("row", F.explode(F.coalesce(F.transform("p", lambda x: x["after"]), F.array(_escaped(F.col("t"))))).alias("plain"))
+    runs = plain.select("row", F.explode(F.regexp_extract_all("plain", F.lit(RUN), F.lit(0))).alias("run")).distinct()
+    words = runs.select("row", "run", F.filter(F.split(F.lower("run"), " "), lambda w: ~F.endswith(w, F.lit("."))).alias("w"))
+    first = words.select("row", "run", "w", F.posexplode(F.slice("w", 1, F.size("w") - 1)).alias("k", "norm")).join(learnt, "norm").groupBy("row", "run", "w").agg(F.min("k").alias("k"))
+    name = F.struct(F.lit("name").alias("kind"), F.element_at("w", -1).alias("norm"))
+    givens = F.transform(F.slice("w", F.col("k") + 1, F.size("w") - 1 - F.col("k")), lambda g: F.struct(F.lit("given").alias("kind"), g.alias("norm")))
+    script = F.when(F.col("run").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    untold = cut(first.select("row", F.inline(F.concat(F.array(name), givens)), script.alias("script"), F.lit("n").alias("gender")), "untitled")
+    entities = entities.unionByName(untold.select("row", "kind", "norm", "script", "gender"))
     drawn = surrogate_map(entities, key)
     per_row = entities.select("row", "kind", "norm").distinct().join(drawn, ["kind", "norm"])
     per_row = per_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "kind", "norm"), "surrogate"))).alias("map"), F.bool_or(F.col("kind") == "name").alias("named"))
@@ -225,7 +260,7 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
         """Capitalised words of a text's own persons, where they stand without a title; a given name's initial stays."""
         said = lambda kind, w: F.element_at(F.col("map"), F.concat_ws("\u0000", F.lit(kind), F.lower(w)))
         words = F.split(plain, _EDGES)
-        known = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}.") & w.rlike(r"\p{L}$"), F.initcap(F.coalesce(said("name", w), said("given", w)))).otherwise(F.lit(None).cast("string")))
+        known = F.transform(words, lambda w: F.when(w.rlike(r"^\p{Lu}.") & w.rlike(r"\p{L}$"), _cased(F.coalesce(said("name", w), said("given", w)), w)).otherwise(F.lit(None).cast("string")))
         return F.array_join(F.zip_with(words, known, lambda w, k: F.coalesce(k, w)), "")
 
     def counted(kind: str | None) -> Column:
@@ -234,7 +269,13 @@ def replace_personal_data(docs: DataFrame, *, key: str = "strata", id_col: str =
 
     kinds = [None, *KINDS]
     with_any = split.join(per_row, "row").select("id", _unescaped(F.array_join(F.transform("p", rebuilt), "")).alias("t"), *map(counted, kinds))
-    clean = parsed.where("p is null")
+    # A text without a titled mention is one piece; only the few that have a learnt name meet the map.
+    bare = parsed.where("p is null")
+    named_rows = untold.select("row").distinct()
+    piece = F.array(F.struct(F.lit(None).cast(MENTION).alias("mention"), _escaped(F.col("t")).alias("after")))
+    learnt_rows = bare.join(named_rows, "row", "left_semi").select("id", "row", piece.alias("p")).join(per_row, "row").select("id", _unescaped(F.array_join(F.transform("p", rebuilt), "")).alias("t"), *map(counted, kinds))
+    clean = bare.join(named_rows, "row", "left_anti")
+    with_any = with_any.unionByName(learnt_rows)
     without = clean.select("id", "t", *[F.lit(0).cast("long").alias(f"n_{k or 'entities'}") for k in kinds])
     return with_any.unionByName(without).withColumnsRenamed({"id": id_col, "t": text_col})
 

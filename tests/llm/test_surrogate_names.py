@@ -31,3 +31,33 @@ def test_more_short_addresses_than_their_shape_has_surrogates(spark):
     entities = spark.createDataFrame([("email", f"{a}@{b}.{t}", "latin", "n") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for t in ("co", "de")], "kind string, norm string, script string, gender string")
     got = [r.surrogate for r in surrogates.surrogate_map(entities, "k").collect()]
     assert len(got) == len(set(got)) == 1352
+
+
+def test_parts_case_and_local_parts(spark):
+    got = replaced(spark, ["Dr. Jane Smith-Jones came. SMITH-JONES left.", "Mr O'Neil came.", *[f"{c}@b.co" for c in "abcdefghijklmnopqrstuvwxyz"], "_@b.co"])
+    surname = got[0].split()[2]
+    assert surname.count("-") == 1 and all(w[0].isupper() and w[1:].islower() for w in surname.split("-"))
+    assert got[0].endswith(f"{surname} came. {surname.upper()} left.")
+    assert "'" in got[1].split()[1] and "Neil" not in got[1]
+    for c, x in zip("abcdefghijklmnopqrstuvwxyz_", got[2:], strict=True):
+        assert x.split("@")[0] != c
+
+
+def test_given_names_learnt_from_titles(spark):
+    texts = ["Mr John Miller came.", "Dr. John Baker came.", "John Smith alone wrote, and Smith knew.", "Paris Smith is a town.", "Then came John F. Kerry, by train.", "Ms Ada Lovelace", "Ada Byron"]
+    got = replaced(spark, texts)
+    assert "John" not in got[2] and "Smith" not in got[2] and got[2].endswith(" knew.")
+    given, surname = got[2].split()[:2]
+    assert got[2] == f"{given} {surname} alone wrote, and {surname} knew."
+    assert got[3] == texts[3]  # a surname alone tells nothing in another text
+    assert "Kerry" not in got[4] and "John" not in got[4] and got[4].startswith("Then came ")
+    assert got[6] == "Ada Byron"  # one surname teaches nothing
+    assert given in got[0] and given in got[1]
+
+
+def test_shapes_of_digits_do_not_run_out(spark):
+    # All numbers of three digits: their shape has no free surrogate at all.
+    entities = spark.createDataFrame([("ssn", f"{i:03}", "latin", "n") for i in range(1000)] + [("ip", f"1.2.3.{i}", "latin", "n") for i in range(256)], "kind string, norm string, script string, gender string")
+    got = surrogates.surrogate_map(entities, "k").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == 1256
+    assert not {r.surrogate for r in got} & {r.norm for r in got}
