@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strata.plans import catalog, catalog_curves, catalog_drawings, catalog_more, catalog_routes  # noqa: F401
+from strata.plans import catalog, catalog_curves, catalog_drawings, catalog_more, catalog_routes, catalog_visibility  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
