@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import end_labels
+from ..operators import cross_places, end_labels
 from ..operators import graph as G
 from ..operators import hypersegments as H
 from ..sources.graphs import TRADE_SQL
@@ -87,3 +87,11 @@ def trade_end_labels(spark: SparkSession, d: str) -> DataFrame:
     end = lambda name, i, dx: F.struct(F.lit(name).alias("end"), (F.element_at("points", i)["x"] + dx).alias("x"), (F.element_at("points", i)["y"] + 2.0).alias("y"))
     labels = routes.select("graph_id", "edge_id", F.inline(F.array(end("TAIL", 1, 2.0), end("HEAD", -1, -22.0))), F.lit(20.0).alias("width"), F.lit(8.0).alias("height"))
     return end_labels.placed_end_labels(labels, routes, placed.where("width > 0").select("graph_id", "x", "y", "width", "height"))
+
+
+@query()
+def trade_simplex_places(spark: SparkSession, d: str) -> DataFrame:
+    """Heights of nodes and dummies at which all edges together climb least."""
+    n, e = (written(t, "trade") for t in _trade(spark, d))
+    every, order, segments = (written(t, "drawing") for t in H.expanded(n, e, written(_layers(n, e), "layers")))
+    return cross_places.simplex_places(every, order, segments.join(e.select("graph_id", "edge_id", "weight"), ["graph_id", "edge_id"])).select("graph_id", "node_id", F.round("y", 6).alias("y"))
