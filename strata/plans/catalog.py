@@ -9,7 +9,7 @@ from ..functions import geometry as g
 from ..operators import graph as G
 from ..operators import kernels as K
 from ..operators import packing as P
-from ..operators import patches, quality
+from ..operators import large, patches, quality
 from ..sources.graphs import CONTAINMENT_SQL, TRANSITION_SQL, containment, transition_graphs
 from .runner import per_graph
 
@@ -75,7 +75,8 @@ def selection_semi(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT r.graph_id, r.node_id, min(n.ord) AS component FROM reach r JOIN nodes n ON n.graph_id = r.graph_id AND n.node_id = r.other GROUP BY ALL", TRANSITION_SQL, " reach AS (SELECT graph_id, node_id, node_id AS other FROM nodes UNION SELECT r.graph_id, r.node_id, CASE WHEN e.source_id = r.other THEN e.target_id ELSE e.source_id END FROM reach r JOIN edges e ON e.graph_id = r.graph_id AND r.other IN (e.source_id, e.target_id))", recursive=True)
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return per_graph(*transition_graphs(spark, d), lambda ids, _, es: zip(ids, K.components(len(ids), es), strict=True), "node_id string, component long")
+    kernel = lambda n, e: per_graph(n, e, lambda ids, _, es: zip(ids, K.components(len(ids), es), strict=True), "node_id string, component long")
+    return large.by_size(*transition_graphs(spark, d), kernel, large.components)
 
 
 _UP = " up AS (SELECT graph_id, node_id, parent_id AS ancestor_id, 1 AS depth FROM geo WHERE parent_id IS NOT NULL UNION ALL SELECT u.graph_id, u.node_id, g.parent_id, u.depth + 1 FROM up u JOIN geo g ON g.graph_id = u.graph_id AND g.node_id = u.ancestor_id WHERE g.parent_id IS NOT NULL)"
@@ -121,12 +122,12 @@ _acyclic("cycle_depth_first", K.dfs_orientation)
 
 @query("SELECT graph_id, node_id, layer FROM lay", TRANSITION_SQL, _LAYERS, recursive=True)
 def layer_longest_path_source(spark: SparkSession, d: str) -> DataFrame:
-    return _layers(*_dag(spark, d))
+    return large.by_size(*_dag(spark, d), lambda n, e: _layers(n, e), lambda n, e: large.longest_path_layers(n, e))
 
 
 @query("SELECT graph_id, node_id, max(d) OVER () * 0 + max(h) OVER (PARTITION BY graph_id) - h AS layer FROM (SELECT graph_id, node_id, max(d) AS h, 0 AS d FROM walk GROUP BY graph_id, node_id)", TRANSITION_SQL, _ORIENT, " walk AS (SELECT graph_id, node_id, 0 AS d FROM nodes UNION ALL SELECT w.graph_id, e.s, w.d + 1 FROM walk w JOIN (SELECT DISTINCT graph_id, s, t FROM dag) e ON e.graph_id = w.graph_id AND e.t = w.node_id)", recursive=True)
 def layer_longest_path_sink(spark: SparkSession, d: str) -> DataFrame:
-    return _layers(*_dag(spark, d), True)
+    return large.by_size(*_dag(spark, d), lambda n, e: _layers(n, e, True), lambda n, e: large.longest_path_layers(n, e, True))
 
 
 @query()
