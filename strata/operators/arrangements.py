@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import closure
-from .kernels import Edges
+from .kernels import SMALL, Edges
 
 
 def tree_slots(nodes: DataFrame) -> DataFrame:
@@ -41,10 +42,24 @@ def radial_arrangement(nodes: DataFrame, ring: float = 100.0) -> DataFrame:
 
 
 def force_arrangement(n: int, edges: Edges, length: float = 100.0, rounds: int = 300, least: float = 1e-3) -> np.ndarray:
-    """Springs along edges, repulsion between all nodes, steps bounded by a falling temperature; starts on a circle."""
+    """Springs along edges, repulsion between all nodes, steps bounded by a falling temperature; starts on a circle.
+
+    Names and weights don't count, so small graphs are often the same one: these are arranged once a worker.
+    """
+    ends = np.array([(s, t) for s, t, _ in edges if s != t], np.int64).reshape(-1, 2)
+    if n <= SMALL and len(ends) <= SMALL * SMALL:
+        return _same_force(n, ends.tobytes(), length, rounds, least).copy()
+    return _force(n, ends, length, rounds, least)
+
+
+@functools.lru_cache(maxsize=1 << 15)
+def _same_force(n: int, ends: bytes, length: float, rounds: int, least: float) -> np.ndarray:
+    return _force(n, np.frombuffer(ends, np.int64).reshape(-1, 2), length, rounds, least)
+
+
+def _force(n: int, ends: np.ndarray, length: float, rounds: int, least: float) -> np.ndarray:
     turn = 2 * np.pi * np.arange(n) / max(1, n)
     p = np.stack((np.cos(turn), np.sin(turn)), axis=1) * length
-    ends = np.array([(s, t) for s, t, _ in edges if s != t], np.int64).reshape(-1, 2)
     apart = (np.arange(n)[:, None] - np.arange(n)[None])[..., None] * np.array([1e-3, 2e-3])
     for k in range(rounds):
         gap = p[:, None] - p[None]

@@ -11,6 +11,7 @@ from ..operators import graph as G
 from ..operators import quality
 from ..operators import routing as R
 from ..sources.graphs import TRANSITION_SQL, transition_graphs
+from ..storage import written
 from . import registry
 from .catalog import _DAG_LAYERS as _LAYERS
 from .catalog import _ELBOW, QUERIES, SQL, _dag, _layers, query
@@ -230,7 +231,7 @@ def invalid_graphs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def arrange_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Places of every node by every registered algorithm for flat graphs."""
-    n, e = transition_graphs(spark, d)
+    n, e = (written(t, "graphs") for t in transition_graphs(spark, d))  # every algorithm reads both
     out = None
     for a in registry.algorithms():
         if a not in ("tree", "radial"):
