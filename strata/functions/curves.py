@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import length, point, segments
@@ -74,18 +74,68 @@ def split_cubic(c: Column, t: Column) -> Column:
     return F.struct(piece(c["a"], p, u, cut).alias("before"), piece(cut, v, r, c["b"]).alias("after"))
 
 
-def flattened(c: Column, tolerance: float = 0.5) -> Column:
-    """Points on a cubic whose chords stay within ``tolerance`` of it: the second differences bound the error."""
+def chords(a: Column, c1: Column, c2: Column, b: Column, tolerance: float = 0.5) -> Column:
+    """Into how many chords a cubic is cut so that they stay within ``tolerance`` of it: the second differences bound the error."""
     bow = lambda p, q, r: F.sqrt((p["x"] - 2 * q["x"] + r["x"]) * (p["x"] - 2 * q["x"] + r["x"]) + (p["y"] - 2 * q["y"] + r["y"]) * (p["y"] - 2 * q["y"] + r["y"]))
-    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(bow(c["a"], c["c1"], c["c2"]), bow(c["c1"], c["c2"], c["b"])) * 0.75 / tolerance)).cast("int"))
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.greatest(bow(a, c1, c2), bow(c1, c2, b)) * 0.75 / tolerance)).cast("int"))
+
+
+def cubic_at(a: Column, c1: Column, c2: Column, b: Column, t: Column) -> Column:
+    """A coordinate of a cubic at the parameter ``t``, from those of its control points."""
+    s = 1 - t
+    return a * s * s * s + 3 * c1 * s * s * t + 3 * c2 * s * t * t + b * t * t * t
+
+
+def flattened(c: Column, tolerance: float = 0.5) -> Column:
+    """Points on a cubic whose chords stay within ``tolerance`` of it.  Tables of many curves take ``flat_curves``: rows
+    are computed by compiled code, a lambda's points are not."""
+    n = chords(c["a"], c["c1"], c["c2"], c["b"], tolerance)
+    on = lambda k, i: cubic_at(c["a"][k], c["c1"][k], c["c2"][k], c["b"][k], i / n)
+    return F.transform(F.sequence(F.lit(0), n), lambda i: point(on("x", i), on("y", i)))
+
+
+_CONTROLS = [f"{p}{k}" for p in ("a", "c1", "c2", "b") for k in "xy"]
+
+
+def flat_curves(curves: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """Every row of ``curves`` (c: its cubic) with the numbers of its control points (ax, ay ... by) for c, and the number
+    ``n`` of its chords."""
+    c, keep = F.col("c"), [x for x in curves.columns if x != "c"]
+    n = chords(c["a"], c["c1"], c["c2"], c["b"], tolerance)
+    return curves.select(*keep, *[c[x[:-1]][x[-1]].alias(x) for x in _CONTROLS], n.alias("n"))
+
+
+def on_curve(i: Column | str, k: str) -> Column:
+    """x or y of the i-th point of a curve of ``flat_curves``."""
+    return cubic_at(*[F.col(p + k) for p in ("a", "c1", "c2", "b")], (F.col(i) if isinstance(i, str) else i) / F.col("n"))
+
+
+def flat_points(curves: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """The points of ``flattened`` as rows: k, x and y instead of c."""
+    keep = [x for x in curves.columns if x != "c"]
+    rows = flat_curves(curves, tolerance).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("k"))
+    return rows.select(*keep, "k", on_curve("k", "x").alias("x"), on_curve("k", "y").alias("y"))
+
+
+def curve_pieces(flat: DataFrame, most: int = 16) -> DataFrame:
+    """Curves of ``flat_curves`` in pieces of ``most`` chords: the first chord (low), the one behind the last (high), and a
+    box (x1, x2, y1, y2) that holds the piece, for it holds the control points of the piece as a cubic of its own."""
+    rows = flat.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(most))).alias("low"))
+    rows = rows.withColumn("high", F.least(F.col("low") + most, F.col("n")))
 
-    def at(i: Column) -> Column:
-        t = i / n
-        s = 1 - t
-        on = lambda k: c["a"][k] * s * s * s + 3 * c["c1"][k] * s * s * t + 3 * c["c2"][k] * s * t * t + c["b"][k] * t * t * t
-        return point(on("x"), on("y"))
+    def way(k: str, t: Column) -> Column:
+        a, c1, c2, b = (F.col(p + k) for p in ("a", "c1", "c2", "b"))
+        return ((c1 - a) * (1 - t) * (1 - t) + 2 * (c2 - c1) * (1 - t) * t + (b - c2) * t * t) * (F.col("high") - F.col("low")) / F.col("n")
 
-    return F.transform(F.sequence(F.lit(0), n), at)
+    # As generated rows: a filter over a projection's columns would repeat their expressions in its own.
+    hull = [x for k in "xy" for e, at, sign in (("p", "low", 1), ("q", "high", -1)) for x in (on_curve(at, k).alias(f"{e}{k}"), (on_curve(at, k) + sign * way(k, F.col(at) / F.col("n"))).alias(f"{e}c{k}"))]
+    rows = rows.select("*", F.inline(F.array(F.struct(*hull))))
+    sides = []
+    for k in "xy":
+        four = [F.col(f"{e}{k}") for e in ("p", "pc", "qc", "q")]
+        slack = 1e-6 + 1e-9 * F.greatest(*[F.abs(x) for x in four])  # rounding alone
+        sides += [(F.least(*four) - slack).alias(f"{k}1"), (F.greatest(*four) + slack).alias(f"{k}2")]
+    return rows.select(*flat.columns, "low", "high", F.inline(F.array(F.struct(*sides))))
 
 
 def spline_pieces(points: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import curves
 from ..functions import geometry as g
 
 EPS = g.EPS
@@ -80,14 +81,34 @@ def _times(a: str, way: str, low: str, high: str) -> tuple[Column, Column]:
     return F.when(F.col(way) != 0, F.least(*t)).when(inside, -ever).otherwise(ever), F.when(F.col(way) != 0, F.greatest(*t)).when(inside, ever).otherwise(-ever)
 
 
+def _through() -> Column:
+    """Whether the line from (ax, ay) by (dx, dy) runs through the open inside of the box b."""
+    (fx, ux), (fy, uy) = _times("ax", "dx", "x1_b", "x2_b"), _times("ay", "dy", "y1_b", "y2_b")
+    return F.greatest(F.lit(0.0), fx, fy) < F.least(F.lit(1.0), ux, uy) - 1e-10
+
+
+def curve_hits(cubics: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes whose open inside a curve's chords run through, each once a curve; not the curve's own ends.
+
+    ``cubics``: graph_id, edge_id, source_id, target_id, c.  Boxes of pieces meet nodes on the grid; only pieces that
+    meet a node are cut into chords, behind the join.
+    """
+    pieces = curves.curve_pieces(curves.flat_curves(cubics))
+    met = grid_join(pieces, _suffixed(boxes(nodes)), F.expr("x1 <= x2_b and x2 >= x1_b and y1 <= y2_b and y2 >= y1_b and node_id_b <> source_id and node_id_b <> target_id"))
+    rows = met.drop("x1", "x2", "y1", "y2").select("*", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("k"))
+    at = {k: [curves.on_curve(F.col("k") + i, k) for i in (0, 1)] for k in "xy"}
+    chord = F.struct(*[at[k][0].alias(f"a{k}") for k in "xy"], *[(at[k][1] - at[k][0]).alias(f"d{k}") for k in "xy"])
+    # As a generated row, for a filter over columns of a projection would repeat their expressions in its own.
+    line = rows.select("graph_id", "edge_id", "node_id_b", "x1_b", "x2_b", "y1_b", "y2_b", F.inline(F.array(chord)))
+    return line.where(_through()).select("graph_id", "edge_id", F.col("node_id_b").alias("node_id")).distinct()
+
+
 def line_hits(routes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Segments of any direction that run through the open inside of a node, per segment and node."""
     s = routes.select("graph_id", "edge_id", F.posexplode(g.segments(F.col("points"))).alias("k", "s"))
     sides = [f(F.col(f"s.a.{c}"), F.col(f"s.b.{c}")).alias(n) for n, f, c in (("x1", F.least, "x"), ("x2", F.greatest, "x"), ("y1", F.least, "y"), ("y2", F.greatest, "y"))]
     s = s.select("graph_id", "edge_id", "k", *sides, F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.expr("s.b.x - s.a.x").alias("dx"), F.expr("s.b.y - s.a.y").alias("dy"))
-    (fx, ux), (fy, uy) = _times("ax", "dx", "x1_b", "x2_b"), _times("ay", "dy", "y1_b", "y2_b")
-    through = F.greatest(F.lit(0.0), fx, fy) < F.least(F.lit(1.0), ux, uy) - 1e-10
-    return grid_join(s, _suffixed(boxes(nodes)), through).select("graph_id", "edge_id", "k", F.col("node_id_b").alias("node_id"))
+    return grid_join(s, _suffixed(boxes(nodes)), _through()).select("graph_id", "edge_id", "k", F.col("node_id_b").alias("node_id"))
 
 
 def frames(nodes: DataFrame, routes: DataFrame, labels: DataFrame, padding: float = 12.0) -> DataFrame:

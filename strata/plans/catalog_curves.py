@@ -9,6 +9,7 @@ from ..functions import curves
 from ..functions import geometry as g
 from ..operators import attachments, graph, measures, packing, quality, routing
 from ..sources.graphs import CONTAINMENT_SQL, TRADE_SQL, TRANSITION_SQL, containment, transition_graphs
+from ..storage import written
 from . import registry
 from .catalog import _BOX, _ELBOW, _PLACE, _UP, SQL, _layers, _shelf, query
 from .catalog_drawings import _LABEL, _LCG, _PLACED, _PORTS, _TRADE_LAYERS, _labelled, _trade, _trade_ports
@@ -22,7 +23,11 @@ def _r(c: Column | str, name: str) -> Column:
 def _s_curves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every edge as one cubic that leaves and enters level."""
     n, e = transition_graphs(spark, d)
-    return n, e, quality.elbow_routes(n, e).select("graph_id", "edge_id", curves.s_curve(F.col("points")).alias("c"))
+    return n, e, _s_curves_of(n, e)
+
+
+def _s_curves_of(n: DataFrame, e: DataFrame) -> DataFrame:
+    return quality.elbow_routes(n, e).select("graph_id", "edge_id", curves.s_curve(F.col("points")).alias("c"))
 
 
 def _cubic(t: str) -> str:
@@ -74,9 +79,10 @@ def straight_line_hits(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT DISTINCT p.graph_id, p.edge_id, b.node_id FROM flat p JOIN flat q ON q.graph_id = p.graph_id AND q.edge_id = p.edge_id AND q.k = p.k + 1 JOIN edges e ON e.graph_id = p.graph_id AND e.edge_id = p.edge_id JOIN nodes b ON b.graph_id = p.graph_id AND b.node_id NOT IN (e.source_id, e.target_id) WHERE {_through('p.x', 'p.y', 'q.x', 'q.y')}", TRANSITION_SQL, _ELBOW, _FLAT)
 def curve_hits(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that the curve between two others runs through."""
-    n, e, c = _s_curves(spark, d)
-    lines = c.select("graph_id", "edge_id", curves.flattened(F.col("c")).alias("points"))
-    return _not_own(quality.line_hits(lines, n), e).select("graph_id", "edge_id", "node_id").distinct()
+    n, e = (written(t, "graphs") for t in transition_graphs(spark, d))  # each is read more than once
+    c = _s_curves_of(n, e)
+    ends = e.select("graph_id", "edge_id", "source_id", "target_id")
+    return quality.curve_hits(c.join(ends, ["graph_id", "edge_id"]), n)
 
 
 @query("SELECT graph_id, edge_id, round(CASE WHEN most = 0 THEN 0 WHEN m > 0 AND (m * sqrt(2) + most - m) / 2 <= m * sqrt(2) THEN sign(dx) / sqrt(2) WHEN abs(dx) > abs(dy) THEN sign(dx) ELSE 0 END, 6) + 0.0 AS x, round(CASE WHEN most = 0 THEN 0 WHEN m > 0 AND (m * sqrt(2) + most - m) / 2 <= m * sqrt(2) THEN sign(dy) / sqrt(2) WHEN abs(dx) > abs(dy) THEN 0 ELSE sign(dy) END, 6) + 0.0 AS y FROM (SELECT *, tx - sx AS dx, ty - sy AS dy, least(abs(tx - sx), abs(ty - sy)) AS m, greatest(abs(tx - sx), abs(ty - sy)) AS most FROM seg0)", TRANSITION_SQL, _ELBOW)
