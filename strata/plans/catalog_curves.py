@@ -42,8 +42,7 @@ _FLAT = f" flat AS (SELECT graph_id, edge_id, k, {_cubic('(k / n)')} FROM (SELEC
 @query("SELECT graph_id, edge_id, CAST(k AS INTEGER) AS k, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM flat", TRANSITION_SQL, _ELBOW, _FLAT)
 def curve_points(spark: SparkSession, d: str) -> DataFrame:
     """Curves as lines that stay within half a unit of them."""
-    c = _s_curves(spark, d)[2].select("graph_id", "edge_id", F.posexplode(curves.flattened(F.col("c"))).alias("k", "p"))
-    return c.select("graph_id", "edge_id", "k", _r("p.x", "x"), _r("p.y", "y"))
+    return curves.flat_points(_s_curves(spark, d)[2]).select("graph_id", "edge_id", "k", _r("x", "x"), _r("y", "y"))
 
 
 @query(f"SELECT graph_id, edge_id, round(x, 6) + 0.0 AS cut_x, round(y, 6) + 0.0 AS cut_y, sx + (tx - sx) * 7 / 32 AS before_x, sy + (ty - sy) / 16 AS before_y, ty - (ty - sy) * 9 / 16 AS after_y FROM (SELECT *, {_cubic('0.25')} FROM seg0)", TRANSITION_SQL, _ELBOW)
