@@ -10,22 +10,23 @@ The model is a distribution over the next token: with absolute discount D (from
 
 z(h) is the sum of all q(h, w) and n(h) their number, exact and stored by history; f is the number of new words that
 the filter is expected to answer by mistake (the chance that its bits, as filled, let a pair pass, times the words that
-don't follow h), so that the mistakes' mass is counted in as well.  P(w) is (c + 1) / (N + V + 1) for the commonest
-words (at most ``model_words``); the rarer words and the unknown one share the rest evenly.  After a word that was
-seen once or never P(w | h) is P(w).
+don't follow h), so that the mistakes' mass is counted in as well.  P(w) is (c + 1) / (N + V + 1) for every word,
+and for the unknown one with c = 0.  After a word that was seen once or never P(w | h) is P(w).
 
 A block belongs to a range of histories and a part of the pairs, so the pairs of one hot history are many blocks.
 Blocks have about 8 MB of text each, however many they are.  Workers get filters and histories in passes of at most
 ``max_filter_bytes``; a pass scores the tokens whose block it has, and its broadcast goes before the next one comes.
 
-Words are told apart by a 64-bit hash.  The exact base score joins counts: those of the commonest words (at most
-``hot_words``) are broadcast, the others are joined by a shuffle.
+Words are told apart by a 64-bit hash.  Counts of the commonest words (at most ``hot_words`` and ``model_words``) are
+broadcast.  For a token of another word a pass hands on the numbers a and b of P(w | h) = a + b P(w); a shuffle joins
+the word's count, for the score and for the base score.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -259,15 +260,22 @@ class Model:
         return at, sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
 
     def word_probabilities(self, words: np.ndarray) -> np.ndarray:
+        """P(w) by the model's own words alone: the others share the rest evenly.  (Scores join their counts instead.)"""
         at, there = self.find(self.words, words)
         return np.where(there, self.p_words[at], self.p_other) if len(self.words) else np.full(len(words), self.p_other)
 
-    def probabilities(self, before: np.ndarray, now: np.ndarray, p: np.ndarray, z: np.ndarray, n: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """P(now | before) of tokens of this pass; ``p``: P(now); z and n of ``before``, 0 where it was never seen."""
+    def terms(self, before: np.ndarray, now: np.ndarray, z: np.ndarray, n: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """a and b of P(now | before) = a + b P(now) for tokens of this pass; z and n of ``before``, 0 where it was never seen."""
         q = _estimate(self.filter.levels(_pairs(before, now), blocks))
         wrong = np.maximum(0.0, self.n_distinct + 1 - n) * self.errors[blocks >> self.blocks.part_bits]
         seen = z > 0
-        return np.where(seen, (np.maximum(q - self.discount, 0.0) + self.discount * (n + wrong) * p) / np.where(seen, z + wrong, 1.0), p)
+        mass = np.where(seen, z + wrong, 1.0)
+        return np.where(seen, np.maximum(q - self.discount, 0.0) / mass, 0.0), np.where(seen, self.discount * (n + wrong) / mass, 1.0)
+
+    def probabilities(self, before: np.ndarray, now: np.ndarray, p: np.ndarray, z: np.ndarray, n: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """P(now | before) of tokens of this pass; ``p``: P(now)."""
+        a, b = self.terms(before, now, z, n, blocks)
+        return a + b * p
 
     def history(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """z and n of histories."""
@@ -342,8 +350,9 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), text_check(text_col).alias("check"), F.col(text_col).alias("t"), (crc_mod(id_col, held_mod) == held_is).alias("held_out"))
     model, merged, histories, passes, by_level = train_model(rows.where("not held_out").select("t"), bits_each=bits_each, model_words=model_words, flush=flush, max_filter_bytes=max_filter_bytes)
-    hot_level, hot = _common(merged, by_level, hot_words)
+    hot_level, hot = _common(merged, by_level, min(hot_words, model_words))
     hot = (model.words, model.counts) if len(hot[0]) == len(model.words) else hot
+    mass = float(model.n_train + model.n_distinct + 1)
 
     def scorer(box, first: bool):
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,40 +363,44 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 now, starts = _batch_tokens(batch.column(2))
                 n, m = np.diff(np.append(starts, len(now))), len(starts)
                 words, back = np.unique(now, return_inverse=True)
-                base, known, tails = np.zeros(m), np.zeros(m, np.int64), pa.array([[]] * m, pa.list_(pa.int64()))
-                if first:
-                    at, there = model.find(hot_keys, words)
-                    logs = np.where(there, np.log10(hot_counts[at] + 1.0), 0.0) if len(hot_keys) else np.zeros(len(words))
-                    base, there = np.add.reduceat(logs[back], starts), there[back]
-                    known = np.add.reduceat(there.astype(np.int64), starts)
-                    upto = np.concatenate(([0], np.cumsum(n - known))).astype(np.int32)
-                    tails = pa.ListArray.from_arrays(pa.array(upto), pa.array(now[~there].view(np.int64)))
+                at, there = model.find(hot_keys, words)
+                logs = np.where(there, np.log10(hot_counts[at] + 1.0), 0.0) if len(hot_keys) else np.zeros(len(words))
+                p = np.where(there, (hot_counts[at] + 1.0) / mass, 0.0) if len(hot_keys) else np.zeros(len(words))
+                there = there[back]
+                base, known = (np.add.reduceat(logs[back], starts), np.add.reduceat(there.astype(np.int64), starts)) if first else (np.zeros(m), np.zeros(m, np.int64))
                 before, history = _before(now), _before(back)
                 block = model.blocks.of(before, _pairs(before, now))
-                mine = (block >= model.filter.first) & (block < model.filter.stop)
-                p, (z, k) = model.word_probabilities(words), model.history(words)
-                logs = np.zeros(len(now))
-                logs[mine] = np.log10(model.probabilities(before[mine], now[mine], p[back[mine]], z[history[mine]], k[history[mine]], block[mine]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n), pa.array(known), pa.array(base), tails, pa.array(np.add.reduceat(logs, starts))], ["id", "check", "held_out", "n_tokens", "known", "base", "tail", "score"])
+                mine = np.flatnonzero((block >= model.filter.first) & (block < model.filter.stop))
+                z, k = model.history(words)
+                a, b = model.terms(before[mine], now[mine], z[history[mine]], k[history[mine]], block[mine])
+                rare, logs = ~there[mine], np.zeros(len(now))
+                logs[mine[~rare]] = np.log10(a[~rare] + b[~rare] * p[back[mine[~rare]]])
+                upto = np.append(np.searchsorted(mine[rare], starts), rare.sum()).astype(np.int32)
+                tail = pa.StructArray.from_arrays([pa.array(now[mine[rare]].view(np.int64)), pa.array(a[rare]), pa.array(b[rare])], ["h", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(upto), tail), pa.array(np.add.reduceat(logs, starts))], ["id", "check", "held_out", "n_tokens", "known", "base", "tail", "score"])
 
         return kernel
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, check long, held_out boolean, n_tokens long, known long, base double, tail array<long>, score double"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, check long, held_out boolean, n_tokens long, known long, base double, tail array<struct<h:long,a:double,b:double>>, score double"
     parts = []
     for k, (first, stop) in enumerate(passes):
         box = spark.sparkContext.broadcast((load_pass(model, merged, histories, first, stop), hot))
         with bounded_batches(spark, 256):
             parts.append(cut(rows.select("id", "check", "t", "held_out").mapInArrow(scorer(box, k == 0), schema), "scores"))
         box.destroy()  # the scores are written: driver, executors and Python workers can let the filter go
-    done = parts[0].withColumn("n", F.monotonically_increasing_id())
+    done = parts[0].drop("tail")
     for part in parts[1:]:  # rows are met again by id and text; those that repeat have equal scores
         more = part.groupBy(F.col("id").alias("i"), F.col("check").alias("c")).agg(F.first("score").alias("more"))
         done = done.join(more, F.col("id").eqNullSafe(F.col("i")) & (F.col("check") == F.col("c")), "left").withColumn("score", F.col("score") + F.col("more")).drop("i", "c", "more")
-    scored = cut(done, "scored")
-    drop_cut(histories, *parts)
-    rare = scored.select("n", F.explode("tail").alias("h")).groupBy("n", "h").agg(F.count("*").alias("times"))
-    rare = rare.join(_word_counts(merged, 1, hot_level), "h").groupBy("n").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare_base"))
-    out = scored.join(rare, "n", "left")
+    # Tokens of rarer words, of all passes.  A pass holds those of a row as often as the row repeats.
+    tails = reduce(DataFrame.unionByName, [part.select("id", "check", F.inline("tail")) for part in parts])
+    counts = _word_counts(merged, 1, hot_level).select("h", F.col("c").alias("seen"))
+    c = F.coalesce("seen", F.lit(0)) + 1.0
+    rare = tails.join(counts, "h", "left").groupBy(F.col("id").alias("i"), F.col("check").alias("c")).agg(F.count("seen").alias("rare_known"), F.sum(F.log10(c)).alias("rare_base"), F.sum(F.log10(F.col("a") + F.col("b") * (c / mass))).alias("rare_score"))
+    times = parts[0].groupBy(F.col("id").alias("j"), F.col("check").alias("d")).agg(F.count("*").alias("times"))
+    rare = rare.join(times, F.col("i").eqNullSafe(F.col("j")) & (F.col("c") == F.col("d"))).select("i", "c", *[(F.col(x) / F.col("times")).alias(x) for x in ("rare_known", "rare_base", "rare_score")])
+    out = done.join(rare, F.col("id").eqNullSafe(F.col("i")) & (F.col("check") == F.col("c")), "left")
+    drop_cut(histories)
     floor = math.log10(model.n_train + model.n_distinct + 1)
     return out.select(
         F.col("id").alias(id_col),
@@ -396,7 +409,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 
